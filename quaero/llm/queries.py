@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaero.llm import simhash
+from quaero.llm import decontaminate, simhash
 
 
 def op3_simhash(spark, sf_dir):
@@ -10,6 +10,11 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op3_simhash": op3_simhash}
+def op6_decontaminate(spark, sf_dir):
+    """Shared 13-word spans of all documents and all benchmark items."""
+    return decontaminate.decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
-SQL: dict[str, str] = {}
+
+QUERIES = {"op3_simhash": op3_simhash, "op6_decontaminate": op6_decontaminate}
+
+SQL = {"op6_decontaminate": decontaminate.SQL}
