@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaero.llm import decontaminate, simhash
+from quaero.llm import decontaminate, secret_scan, simhash
 
 
 def op3_simhash(spark, sf_dir):
@@ -15,6 +15,18 @@ def op6_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op6_decontaminate": op6_decontaminate}
+def op10_secret_scan(spark, sf_dir):
+    """Secrets in all documents, each distinct text scanned once."""
+    return secret_scan.report(secret_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
-SQL = {"op6_decontaminate": decontaminate.SQL}
+
+QUERIES = {
+    "op3_simhash": op3_simhash,
+    "op6_decontaminate": op6_decontaminate,
+    "op10_secret_scan": op10_secret_scan,
+}
+
+SQL = {
+    "op6_decontaminate": decontaminate.SQL,
+    "op10_secret_scan": secret_scan.sql(),
+}
