@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaero.llm import decontaminate, secret_scan, simhash
+from quaero.llm import decontaminate, quality_crf, secret_scan, simhash
 
 
 def op3_simhash(spark, sf_dir):
@@ -10,6 +10,12 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_quality_crf(spark, sf_dir):
+    """Base counts and line-labelling verdicts of all documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return quality_crf.judge(docs, quality_crf.fit_from_labels(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op6_decontaminate(spark, sf_dir):
     """Shared 13-word spans of all documents and all benchmark items."""
     return decontaminate.decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -22,6 +28,7 @@ def op10_secret_scan(spark, sf_dir):
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op5_quality_crf": op5_quality_crf,
     "op6_decontaminate": op6_decontaminate,
     "op10_secret_scan": op10_secret_scan,
 }
