@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaero.llm import decontaminate, quality_crf, secret_scan, simhash
+from quaero.llm import decontaminate, mixing, quality_crf, secret_scan, simhash, token_count
 
 
 def op3_simhash(spark, sf_dir):
@@ -10,6 +10,13 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_token_count(spark, sf_dir):
+    """Tokens of all documents by the 32k piece model."""
+    import public_tokenizers
+
+    return token_count.count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_quality_crf(spark, sf_dir):
     """Base counts and line-labelling verdicts of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -21,6 +28,11 @@ def op6_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_mixing(spark, sf_dir):
+    """Raked weights and draws of all documents."""
+    return mixing.op7(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_secret_scan(spark, sf_dir):
     """Secrets in all documents, each distinct text scanned once."""
     return secret_scan.report(secret_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet")))
@@ -28,12 +40,15 @@ def op10_secret_scan(spark, sf_dir):
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op4_token_count": op4_token_count,
     "op5_quality_crf": op5_quality_crf,
     "op6_decontaminate": op6_decontaminate,
+    "op7_mixing": op7_mixing,
     "op10_secret_scan": op10_secret_scan,
 }
 
 SQL = {
     "op6_decontaminate": decontaminate.SQL,
+    "op7_mixing": mixing.sql(),
     "op10_secret_scan": secret_scan.sql(),
 }
