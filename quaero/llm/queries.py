@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaero.llm import decontaminate, mixing, quality_crf, secret_scan, simhash, token_count
+from quaero.llm import decontaminate, html_extract, mixing, quality_crf, secret_scan, simhash, token_count
 
 
 def op3_simhash(spark, sf_dir):
@@ -33,6 +33,11 @@ def op7_mixing(spark, sf_dir):
     return mixing.op7(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_html_extract(spark, sf_dir):
+    """Main text of all pages."""
+    return html_extract.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_secret_scan(spark, sf_dir):
     """Secrets in all documents, each distinct text scanned once."""
     return secret_scan.report(secret_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet")))
@@ -44,6 +49,7 @@ QUERIES = {
     "op5_quality_crf": op5_quality_crf,
     "op6_decontaminate": op6_decontaminate,
     "op7_mixing": op7_mixing,
+    "op9_html_extract": op9_html_extract,
     "op10_secret_scan": op10_secret_scan,
 }
 
