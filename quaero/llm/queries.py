@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from quaero.llm import decontaminate, html_extract, mixing, quality_crf, secret_scan, simhash, token_count
+from quaero.llm import decontaminate, html_extract, mixing, quality_crf, secret_scan, simhash, token_count, toxicity
+
+
+def op1_toxicity(spark, sf_dir):
+    """Expected toxicity severity of all documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return toxicity.score(docs, toxicity.fit_from_labels(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op3_simhash(spark, sf_dir):
@@ -44,6 +50,7 @@ def op10_secret_scan(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_simhash": op3_simhash,
     "op4_token_count": op4_token_count,
     "op5_quality_crf": op5_quality_crf,
