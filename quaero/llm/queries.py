@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaero.llm import decontaminate, html_extract, mixing, quality_crf, secret_scan, simhash, token_count, toxicity
+from quaero.llm import decontaminate, html_extract, maxent_lm, mixing, quality_crf, secret_scan, simhash, token_count, toxicity
 
 
 def op1_toxicity(spark, sf_dir):
@@ -11,6 +11,11 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit_from_labels(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op2_maxent_lm(spark, sf_dir):
+    """Log probabilities of all documents by a model of those not held out."""
+    return maxent_lm.score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op3_simhash(spark, sf_dir):
     """Near-duplicate groups of all documents."""
     return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -51,6 +56,7 @@ def op10_secret_scan(spark, sf_dir):
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_maxent_lm": op2_maxent_lm,
     "op3_simhash": op3_simhash,
     "op4_token_count": op4_token_count,
     "op5_quality_crf": op5_quality_crf,
