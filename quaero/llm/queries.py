@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaero.llm import decontaminate, html_extract, maxent_lm, mixing, quality_crf, secret_scan, simhash, token_count, toxicity
+from quaero.llm import decontaminate, html_extract, maxent_lm, mixing, quality_crf, secret_scan, simhash, substring_dedup, token_count, toxicity
 
 
 def op1_toxicity(spark, sf_dir):
@@ -44,6 +44,11 @@ def op7_mixing(spark, sf_dir):
     return mixing.op7(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    """All documents without the 13-word windows of documents before them."""
+    return substring_dedup.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_html_extract(spark, sf_dir):
     """Main text of all pages."""
     return html_extract.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
@@ -62,6 +67,7 @@ QUERIES = {
     "op5_quality_crf": op5_quality_crf,
     "op6_decontaminate": op6_decontaminate,
     "op7_mixing": op7_mixing,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_html_extract": op9_html_extract,
     "op10_secret_scan": op10_secret_scan,
 }
@@ -69,5 +75,6 @@ QUERIES = {
 SQL = {
     "op6_decontaminate": decontaminate.SQL,
     "op7_mixing": mixing.sql(),
+    "op8_substring_dedup": substring_dedup.SQL,
     "op10_secret_scan": secret_scan.sql(),
 }
