@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from quaero.plans import data, evidence, retrieval
+
+QUERIES = retrieval.QUERIES | data.QUERIES | evidence.QUERIES
+SQL = retrieval.SQL | data.SQL | evidence.SQL
