@@ -1,0 +1,258 @@
+"""Quality rules, toxicity, token counts, language model, HTML and mixing."""
+
+import collections
+import itertools
+import math
+import os
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from quaero.llm import html_extract, maxent_lm, mixing, quality_crf, token_count, toxicity
+from conftest import AWKWARD
+
+SF = "/root/testdata/sf0.001"
+
+
+# quality rules
+
+N = len(quality_crf.FEATURES)
+
+
+def base_counts(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    many = {g for g, n in collections.Counter(grams).items() if n > 1}
+    repeat = {i + k for i, g in enumerate(grams) if g in many for k in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeat)
+
+
+TEXTS = [(20, "a b c a b c d\na b c\nlast line"), (21, "x\n\nx\r\nx\n"), (22, " ".join(f"w{i}" for i in range(80))), (23, "one | two # three\n" * 3 + "é ü"), (24, "ABC !!! " + " ".join(f"w{i}$$$" for i in range(90)))]
+
+
+def test_quality_base_counts(make):
+    rows = AWKWARD + TEXTS
+    out = quality_crf.judge(make(rows), quality_crf.PLAIN).collect()
+    order = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    assert sorted((tuple(r)[:6] for r in out), key=order) == sorted([(i, *base_counts(t)) for i, t in rows], key=order)
+    verdict = {r.doc_id: (r.base_failed, r.kept) for r in out}
+    assert verdict[22] == (False, True) and verdict[24] == (False, False) and verdict[1] == (True, False)
+    assert quality_crf.judge(make([]), quality_crf.PLAIN).count() == 0
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(0)
+    model = quality_crf.Crf(rng.normal(size=(N, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
+    sizes = [1, 4, 2, 7, 1]
+    x = rng.normal(size=(sum(sizes), N))
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    label = quality_crf.viterbi(model, x, first)
+    score = x @ model.emission
+    for a, b in zip(first, first[1:], strict=False):
+
+        def value(path, a=a):
+            return model.start[path[0]] + sum(score[a + t, y] for t, y in enumerate(path)) + sum(model.transition[p, q] for p, q in itertools.pairwise(path))
+
+        assert tuple(label[a:b]) == max(itertools.product((0, 1), repeat=b - a), key=value)
+
+
+def test_crf_learns_lines_and_needs_both_labels():
+    clean, junk = np.eye(N)[[0, 0, 0]], np.eye(N)[[0, 2, 2]]
+    junk[:, 3] = 1
+    model = quality_crf.fit([clean, junk] * 10, [np.ones(3, int), np.zeros(3, int)] * 10)
+    assert quality_crf.viterbi(model, np.concatenate((clean, junk)), np.array([0, 3, 6])).tolist() == [1, 1, 1, 0, 0, 0]
+    assert quality_crf.fit([clean], [np.ones(3, int)]) is quality_crf.PLAIN
+
+
+# toxicity
+
+
+def toxic_rows(n):
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(n):
+        words = [f"w{k}" for k in rng.integers(0, 400, 60)]
+        bad = i % 5 == 0
+        for _ in range(int(rng.integers(2, 9)) if bad else 0):
+            words[rng.integers(60)] = str(rng.choice(["grunk", "blorg", "snarfling", "snarfly"]))
+        rows.append((i, " ".join(words), int(bad)))
+    return rows
+
+
+def test_toxicity_held_out(spark, make, awkward):
+    rows = toxic_rows(600)
+    labels = spark.createDataFrame([(i, 1, t) for i, _, t in rows[:400]] + [(None, 1, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit_from_labels(make([r[:2] for r in rows]), labels)
+    out = {r.doc_id: r for r in toxicity.score(make([r[:2] for r in rows]), model).collect()}
+    test = rows[400:]
+    assert sum(out[i].toxic != bool(t) for i, _, t in test) <= 4
+    severity = [out[i].expected_severity for i, _, t in test if t]
+    used = [sum(w in x for w in ("grunk", "blorg", "snarf")) for _, x, t in test if t]
+    assert np.corrcoef(severity, used)[0, 1] > 0 and all(np.diff(model.thresholds) >= 0)
+    assert toxicity.score(awkward, model).count() == len(AWKWARD)
+    none = toxicity.fit_from_labels(make([r[:2] for r in rows]), labels.where("toxic = 0"))
+    assert none is toxicity.NONE and not any(r.toxic for r in toxicity.score(awkward, none).collect())
+    assert toxicity.score(make([]), model).count() == 0
+
+
+def test_ordinal_gradient_finds_order():
+    rng = np.random.default_rng(2)
+    rows = [np.full(int(k), 7) for k in rng.integers(0, 10, 300)]
+    grades = np.array([min(3, len(r) // 3) for r in rows])
+    model = toxicity.fit_ordinal(rows, grades, np.ones(300), steps=600)
+    chances = model.severity(np.array([len(r) * model.weights[7] for r in rows])).sum(1)
+    assert np.corrcoef(chances, grades)[0, 1] > 0.9
+
+
+# token counts
+
+
+def model_path():
+    return pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+
+
+SPACES = ["", " ", "  ", "   a  b   c    ", " a", "a ", "\n", "a\nb\n", "▁", "a▁b", "<s> </s><unk>", "　x ｆ", "a\x00b", "é" * 300, " \n \n", "\t\t x", "日本語 テスト", "😀 😀😀", "x" * 5000]
+
+
+def test_token_counts_are_the_librarys(make):
+    path = model_path()
+    library = token_count.load(path)
+    rows = AWKWARD + list(enumerate(SPACES, 100))
+    out = token_count.count_tokens(make(rows), path).collect()
+    expected = [(i, len((t or "").encode()), len(library.encode(t or "")), len(library.encode(t or "")) > 4096) for i, t in rows]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    assert sorted((tuple(r) for r in out), key=order) == sorted(expected, key=order)
+    assert token_count.count_tokens(make([]), path).count() == 0
+
+
+def test_proof_lists_single_tokens_only():
+    path = model_path()
+    whole, library = token_count.prove(path), token_count.load(path)
+    assert len(whole) > 10_000 and all(len(library.encode(w)) == 1 for w in sorted(whole)[:2000])
+
+
+# language model
+
+
+def test_language_model(make):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{k}" for k in rng.integers(0, 30, 80)) + (f" rare{i} rare{i % 7}" if i % 3 else "")) for i in range(120)]
+    rows += [(200, None), (201, ""), (202, "A1 B2 never"), (202, "A1 B2 never"), (None, "a1 b1")]
+    tokens = lambda t: [w.lower() for w in (t or "").split()] + [None]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    count = collections.Counter(w for i, t in rows if not held(i) for w in tokens(t))
+    n, v = sum(count.values()), len(count)
+    saved, maxent_lm.KNOWN = maxent_lm.KNOWN, 256  # most words are looked up by the join
+    try:
+        out = maxent_lm.score(make(rows)).collect()
+    finally:
+        maxent_lm.KNOWN = saved
+    expected = [(i, held(i), len(tokens(t)), sum(count[w] > 0 for w in tokens(t)), n, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in tokens(t))) for i, t in rows]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    for got, want in zip(sorted((tuple(r) for r in out), key=order), sorted(expected, key=order), strict=True):
+        assert got[:5] == want[:5] and got[5] == pytest.approx(want[5]) and got[6] < 0
+    unseen = [r for r in out if r.held_out]
+    assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)  # two kinds of text: contexts tell which
+    assert maxent_lm.score(make([])).count() == 0
+    assert maxent_lm.score(make(AWKWARD)).count() == len(AWKWARD)
+
+
+def test_class_chances_sum_to_one():
+    rng = np.random.default_rng(4)
+    w = maxent_lm.Weights(rng.normal(size=32).astype(np.float32), rng.normal(size=(16, 64)).astype(np.float32), rng.normal(size=(maxent_lm.ROWS, 32)).astype(np.float32), rng.normal(size=(maxent_lm.ROWS, 64)).astype(np.float32))
+    every = np.arange(maxent_lm.WIDTH * maxent_lm.HEADS + maxent_lm.TAILS)
+    one, two = np.full(len(every), 5), np.full(len(every), 9)
+    _, by_class, head, _, _, by_word = maxent_lm._chances(w, every, one, two)
+    p = maxent_lm._log_chance(by_class, maxent_lm.class_of(every))
+    p[head] += maxent_lm._log_chance(by_word, every[head] % maxent_lm.WIDTH)
+    assert np.exp(p).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_run_sums():
+    x = np.random.default_rng(5).normal(size=(100, 4)).astype(np.float32)
+    starts = np.array([0, 1, 3, 40, 90])
+    assert maxent_lm._run_sums(x, starts, np.diff(np.append(starts, 100))) == pytest.approx(np.add.reduceat(x, starts, axis=0), abs=1e-5)
+
+
+# HTML
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no";</script></head><body><nav><ul><li><a href=x>Home</a></li></ul></nav><!-- <p>no</p> -->
+<div class="ad banner">Buy, now.</div><article><h1>A &amp; B&nbsp;title</h1><p><b>First   line<br>goes on, here.</b><p>Second &lt;b&gt; one.</p><p>No.</p><aside>Aside, text.</aside><ul><li>Item one<li>Item two</ul>
+<form><input value="x">Send</form></article><section id="comments"><p>I liked it, very much, indeed; thanks. Truly good.</p></section><div class="cookie-notice">We use cookies.</div><footer>&copy; us</footer></body></html>"""
+
+
+def test_main_text(spark):
+    assert html_extract.extract(PAGE) == "A & B title\n\nFirst line goes on, here.\n\nSecond <b> one.\n\nNo.\n\nItem one\n\nItem two"
+    soup = "<body><div id=m><div><p>Hello, world. A long text, with commas, and so on. More here.</p><p>Also this one, right here.</p></div></div><div><ul><li><a href=x>Home</a></li><li><a href=x>About us</a></li></ul></div>"
+    assert html_extract.extract(soup) == "Hello, world. A long text, with commas, and so on. More here.\n\nAlso this one, right here."
+    rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "<p>cut off &am"), (5, "u", "<article><p>" + "word, " * 50000), (6, "u", '<p a="unclosed> text</p>'), (7, "u", "<script>only"), (8, "u", "plain")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumnRenamed("x", "x")
+    out = html_extract.extract_pages(pages).collect()
+    assert len(out) == len(rows) and all(r.n_chars == len(r.text) for r in out)
+    text = {r.page_id: r.text for r in out}
+    assert text[2] == text[3] == text[7] == "" and text[None] == "cut off &am" and len(text[5]) == 6 * 50000 - 1 and text[8] == "plain"
+    assert html_extract.extract_pages(pages.limit(0)).count() == 0
+
+
+# mixing
+
+
+def test_rake_meets_all_marginals():
+    rng = np.random.default_rng(6)
+    labels = [rng.integers(0, k, 60) for k in (5, 3, 2)]
+    tokens = rng.integers(1, 1000, 60).astype(float)
+    mix = mixing.Mix(sweeps=300)
+    weight = mixing.rake(labels, tokens, mix)
+    for label, power in zip(labels, mix.powers, strict=True):
+        share = np.bincount(label, tokens / tokens.sum()) ** power
+        assert np.bincount(label, weight) == pytest.approx(share / share.sum(), abs=1e-6)
+    s = mixing.rate(tokens, weight, 0.5)
+    assert (np.minimum(1, s * weight / tokens) * tokens).sum() == pytest.approx(0.5 * tokens.sum())
+
+
+def test_mixing_rows(make):
+    rows = AWKWARD + [(i, "w " * (50 + i)) for i in range(100, 160)]
+    mix = mixing.Mix(sweeps=3)
+    out = mixing.weigh(make(rows), mix)
+    assert out.count() == len(rows) and {"topic", "weight", "text", "key"} <= set(out.columns)
+    by_table = mixing.weigh(make(rows), mix, max_cells=1)
+    key = lambda df: sorted((r.doc_id or 0, r.n_tokens, round(r.probability, 6), round(r.weight, 6), r.sampled) for r in df.collect())
+    assert key(out) == key(by_table)
+    assert mixing.weigh(make([])).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["op6_decontaminate", "op7_mixing", "op8_substring_dedup", "op10_secret_scan"])
+def test_queries_equal_sql(spark, name):
+    import duckdb
+
+    from quaero.llm import queries
+
+    base = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        base.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    found = queries.QUERIES[name](spark, SF)
+    columns = sorted(found.columns)
+    rows = base.sql(f"SELECT {', '.join(columns)} FROM ({queries.SQL[name]})").fetchall()
+    assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, rows))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_pipeline(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = dict(p.STAGES)
+    kept, seen = docs, docs.columns
+    for name, stage in list(stages.items())[:-1]:
+        before = kept.count()
+        kept = spark.createDataFrame(stage(spark, kept, SF).collect(), kept.schema)
+        assert kept.columns == seen and 0 < kept.count() <= before, name
+    out = p.run(spark, SF)
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    drawn = {r.doc_id for r in out.collect()}
+    assert drawn <= ids and drawn == {r.doc_id for r in mixing.weigh(kept).where("sampled").collect()}
