@@ -104,7 +104,7 @@ def _raked_table(cells: DataFrame, mix: Mix) -> DataFrame:
     for _ in range(60):
         middle = (low + high) / 2
         low, high = (middle, high) if drawn(middle) < mix.part * total else (low, middle)
-    return now.select(*names, F.least(F.lit(1.0), F.lit(high) * F.col("w") / F.col("t")).alias("p"), (F.col("w") / F.col("t") * F.lit(float(total))).alias("weight"), "n")
+    return now.select(*names, F.least(F.lit(1.0), F.lit(high) * F.col("w") / F.col("t")).alias("_p"), (F.col("w") / F.col("t") * F.lit(float(total))).alias("_w"), F.col("n").alias("_n"))
 
 
 def _cells(docs: DataFrame) -> DataFrame:
@@ -137,16 +137,16 @@ def weigh(docs: DataFrame, mix: Mix = Mix(), max_cells: int = MAX_CELLS) -> Data
             weight = rake(labels, tokens, mix)
             p = np.minimum(1.0, rate(tokens, weight, mix.part) * weight / tokens)
             made = [(*r[:3], float(a), float(b)) for r, a, b in zip(rows, p, weight / tokens * tokens.sum(), strict=True)]
-        table = spark.createDataFrame(made, "_source string, _lang string, _topic string, p double, weight double")
+        table = spark.createDataFrame(made, "_source string, _lang string, _topic string, _p double, _w double")
         joined = _described(docs).join(F.broadcast(table), names, "left")
     else:
         cell = F.to_json(F.array(*names))
         table = scratch.table(_raked_table(cells, mix)).withColumn("_cell", cell).drop(*names)
         total = cells.agg(F.sum("n")).first()[0]
-        joined = lookup(_described(docs).withColumn("_cell", cell), table, "_cell", "n", total, "left")
+        joined = lookup(_described(docs).withColumn("_cell", cell), table, "_cell", "_n", total, "left")
     number = F.conv(F.substring(F.md5(F.concat(F.lit(mix.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    p = F.coalesce("p", F.lit(mix.part))
-    return joined.select(*docs.columns, F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.coalesce("weight", F.lit(1.0)).alias("weight"), p.alias("probability"), (number < p).alias("sampled"))
+    p = F.coalesce("_p", F.lit(mix.part))
+    return joined.select(*docs.columns, F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.coalesce("_w", F.lit(1.0)).alias("weight"), p.alias("probability"), (number < p).alias("sampled"))
 
 
 def sql(mix: Mix = Mix()) -> str:
