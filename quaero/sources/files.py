@@ -30,12 +30,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True)
     """
     if not strict and not _exists(spark, path):
         return spark.createDataFrame([], schema)
-    broken = spark.read.schema(f"{schema}, _broken string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken")
     lines = spark.read.text(path).where(F.trim("value") != "")
-    wrong = lines.where(F.try_parse_json("value").isNull() | ~F.trim("value").startswith("{"))
-    if strict and (first := wrong.limit(1).collect()):
+    whole = F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{")
+    if strict and (first := lines.where(~whole).limit(1).collect()):
         raise BadLine(f"{path}: {first[0].value[:200]}")
-    return broken.where("_broken is null").drop("_broken") if not strict else spark.read.schema(schema).json(path)
+    return lines.where(whole).select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
