@@ -29,6 +29,7 @@ from quaero.llm.wordbytes import LOWER, SPACE, Words, mix, segment_sum, text_gro
 WIDTH, HEADS, TAILS = 64, 16, 16
 KNOWN = 1 << 20
 ROWS = 1 << 13
+SLOTS = 1 << 18
 #: Rounds of training between which the partitions' weights are averaged, and tokens of a gradient step.
 ROUNDS, STEP = 2, 8192
 BLOCKS = 16
@@ -48,12 +49,27 @@ class Vocabulary:
     number: np.ndarray  # each known word's head number, -1 for tail words
     tail_total: np.ndarray  # tokens + words + 1 of each tail class
 
+    def __post_init__(self):
+        """A table from a hash's low bits to a known word's place; where words share them, the last's, and the rest are searched."""
+        self.slots = np.full(4 * SLOTS, -1, np.int32)
+        low = (self.known & np.uint64(4 * SLOTS - 1)).astype(np.int64)
+        self.slots[low] = np.arange(len(low))
+        self.shared = np.zeros(4 * SLOTS, bool)
+        self.shared[low[self.slots[low] != np.arange(len(low))]] = True
+
     def look_up(self, hashes: np.ndarray) -> np.ndarray:
         """Each word's place among the known ones, -1 if it isn't."""
         if not len(self.known):
             return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[at] == hashes, at, -1)
+        low = (hashes & np.uint64(4 * SLOTS - 1)).astype(np.int64)
+        at = self.slots[low]
+        miss = self.known[at] != hashes
+        at[miss] = -1
+        again = np.flatnonzero(miss)
+        again = again[self.shared[low[again]]]
+        found = np.minimum(np.searchsorted(self.known, hashes[again]), len(self.known) - 1)
+        at[again] = np.where(self.known[found] == hashes[again], found, -1)
+        return at
 
 
 @dataclass
@@ -108,51 +124,101 @@ class Tokens:
         return np.where(place >= 1, one, none), np.where(place >= 2, two, none)
 
 
+_SYMBOLS = WIDTH * HEADS + TAILS + 1
+
+
 def _rows(*parts) -> np.ndarray:
+    """Rows of weights by hash; 16 bits, so that they sort by radix."""
     key = np.zeros(1, np.uint64)
     for p in parts:
         key = (key + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) + np.atleast_1d(p).astype(np.uint64)
-    return (mix(key) % np.uint64(ROWS)).astype(np.int64)
+    return (mix(key) % np.uint64(ROWS)).astype(np.uint16)
+
+
+_every = np.arange(_SYMBOLS)
+_ROW_ONE, _ROW_TWO = _rows(1, _every), _rows(2, _every)
+_GROUP_ONE, _GROUP_TWO = (_rows(k, np.repeat(_every, HEADS), np.tile(np.arange(HEADS), _SYMBOLS)) for k in (4, 5))
 
 
-def class_rows(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    return np.stack((_rows(1, one), _rows(2, two), _rows(3, one, two)), 1)
+def class_rows(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
+    both = (one * _SYMBOLS + two).astype(np.uint32) * np.uint32(0x9E3779B1)
+    return _ROW_ONE[one], _ROW_TWO[two], ((both >> np.uint32(15)) % np.uint32(ROWS)).astype(np.uint16)
 
 
-def word_rows(one: np.ndarray, two: np.ndarray, group: np.ndarray) -> np.ndarray:
-    return np.stack((_rows(4, one, group), _rows(5, two, group)), 1)
+def word_rows(one: np.ndarray, two: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, ...]:
+    return _GROUP_ONE[one * HEADS + group], _GROUP_TWO[two * HEADS + group]
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _scores(bias: np.ndarray, table: np.ndarray, rows: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Unnormalized log chances.  Biases are log chances and weights are small, so only a bound keeps them from overflowing."""
+    x = np.take(table, rows[0], axis=0)
+    for r in rows[1:]:
+        x += np.take(table, r, axis=0)
+    x += bias
+    return np.minimum(x, 60, out=x)
+
+
+def _totals(x: np.ndarray) -> np.ndarray:
+    """Sums of rows, as a product with ones."""
+    return x @ np.ones(x.shape[1], x.dtype)
 
 
 def _chances(weights: Weights, symbol, one, two):
-    """(class rows, class log chances, which tokens are of the head, their class, word rows, word log chances)."""
+    """(class rows, class scores, which tokens are of the head, their class, word rows, word scores)."""
     rows = class_rows(one, two)
-    by_class = log_softmax(weights.class_bias + weights.to_class[rows].sum(1))
+    by_class = _scores(weights.class_bias, weights.to_class, rows)
     head = np.flatnonzero(symbol < WIDTH * HEADS)
     group = symbol[head] // WIDTH
     inner = word_rows(one[head], two[head], group)
-    by_word = log_softmax(weights.word_bias[group] + weights.to_word[inner].sum(1))
-    return rows, by_class, head, group, inner, by_word
+    return rows, by_class, head, group, inner, _scores(weights.word_bias[group], weights.to_word, inner)
+
+
+def _log_chance(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    own = x[np.arange(len(x)), target].astype(np.float64)
+    return own - np.log(_totals(np.exp(x, out=x)).astype(np.float64))
+
+
+def _gradient(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """What was seen less what was expected; x is overwritten."""
+    np.exp(x, out=x)
+    x *= (-1 / _totals(x))[:, None]
+    x[np.arange(len(x)), target] += 1
+    return x
 
 
 def class_of(symbol: np.ndarray) -> np.ndarray:
     return np.where(symbol < WIDTH * HEADS, symbol // WIDTH, symbol - WIDTH * HEADS + HEADS)
 
 
-def _step(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
+def _step(table: np.ndarray, seen: np.ndarray, rows: tuple[np.ndarray, ...], gradient: np.ndarray, rate: float) -> None:
     """Add each row's summed gradients, over the root of how often the row was met."""
-    flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
-    flat = flat[order]
-    starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-    total = np.add.reduceat(gradient[order // rows.shape[1]], starts, axis=0)
-    hit = flat[starts]
-    seen[hit] += np.diff(np.append(starts, len(flat)))
-    table[hit] += (rate / np.sqrt(seen[hit] + 30.0))[:, None].astype(np.float32) * total
+    for own in rows:
+        order = np.argsort(own, kind="stable")
+        sorted_ = own[order]
+        starts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+        count = np.diff(np.append(starts, len(own)))
+        hit = sorted_[starts]
+        seen[hit] += count
+        table[hit] += (rate / np.sqrt(seen[hit] + 30.0))[:, None].astype(np.float32) * _run_sums(np.take(gradient, order, axis=0), starts, count)
+
+
+def _run_sums(x: np.ndarray, starts: np.ndarray, count: np.ndarray, long: int = 16) -> np.ndarray:
+    """Sums of the runs of rows of x: long ones each as a product with ones, the others place by place."""
+    out = np.empty((len(starts), x.shape[1]), x.dtype)
+    ones = np.ones(int(count.max(initial=1)), x.dtype)
+    for i in np.flatnonzero(count >= long).tolist():
+        out[i] = ones[: count[i]] @ x[starts[i] : starts[i] + count[i]]
+    short = np.flatnonzero(count < long)
+    short = short[np.argsort(-count[short], kind="stable")]
+    at, n = starts[short], count[short]
+    total = np.take(x, at, axis=0)
+    for place in range(1, long):
+        m = int(np.searchsorted(-n, -place, "left"))  # runs with more rows than this
+        if not m:
+            break
+        total[:m] += np.take(x, at[:m] + place, axis=0)
+    out[short] = total
+    return out
 
 
 def train_on(weights: Weights, seen: tuple[np.ndarray, np.ndarray], symbol, one, two, rate: float = 0.35) -> None:
@@ -160,13 +226,9 @@ def train_on(weights: Weights, seen: tuple[np.ndarray, np.ndarray], symbol, one,
     for at in range(0, len(symbol), STEP):
         s, a, b = symbol[at : at + STEP], one[at : at + STEP], two[at : at + STEP]
         rows, by_class, head, _, inner, by_word = _chances(weights, s, a, b)
-        gradient = -np.exp(by_class)
-        gradient[np.arange(len(s)), class_of(s)] += 1
-        _step(weights.to_class, seen[0], rows, gradient, rate)
+        _step(weights.to_class, seen[0], rows, _gradient(by_class, class_of(s)), rate)
         if len(head):
-            gradient = -np.exp(by_word)
-            gradient[np.arange(len(head)), s[head] % WIDTH] += 1
-            _step(weights.to_word, seen[1], inner, gradient, rate)
+            _step(weights.to_word, seen[1], inner, _gradient(by_word, s[head] % WIDTH), rate)
 
 
 def _count(docs: DataFrame) -> DataFrame:
@@ -215,7 +277,8 @@ def _vocabulary(counts: DataFrame) -> tuple[Vocabulary, Weights]:
     words[: len(head)] = c[head]
     share = np.concatenate((words.reshape(HEADS, WIDTH).sum(1), total))
     words = words.reshape(HEADS, WIDTH)
-    weights = Weights(np.log(np.maximum(share, 1e-6)).astype(np.float32), np.log(np.maximum(words, 1e-6)).astype(np.float32), np.zeros((ROWS, _CLASSES), np.float32), np.zeros((ROWS, WIDTH), np.float32))
+    log_share = lambda x: np.log(np.maximum(x, 1e-6) / np.maximum(x, 1e-6).sum(-1, keepdims=True)).astype(np.float32)
+    weights = Weights(log_share(share), log_share(words), np.zeros((ROWS, _CLASSES), np.float32), np.zeros((ROWS, WIDTH), np.float32))
     return Vocabulary(int(n), int(v), h, c, number, total), weights
 
 
@@ -253,6 +316,19 @@ def _train(docs: DataFrame, vocabulary, weights: Weights, part: int, parts: int)
     return weights.with_flat(np.concatenate([np.frombuffer(bytes(r.w), np.float32) for r in rows])) if rows else weights
 
 
+def _rare(tokens: Tokens, rare: np.ndarray) -> list[pa.Array]:
+    """Each text's tokens among ``rare``: their hashes, and how often each comes, as lists."""
+    at = np.flatnonzero(rare)
+    order = at[np.lexsort((tokens.hash[at], tokens.doc[at]))]
+    h, doc = tokens.hash[order], tokens.doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    starts = np.flatnonzero(new)
+    cuts = pa.array(np.searchsorted(doc[starts], np.arange(len(tokens.n) + 1)).astype(np.int32))
+    times = np.diff(np.append(starts, len(h))).astype(np.int32)
+    return [pa.ListArray.from_arrays(cuts, pa.array(h[starts].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times))]
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
 
@@ -273,46 +349,34 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         weights = _train(docs, vocabulary, weights, part, ROUNDS)
     model = spark.sparkContext.broadcast(weights)
 
-    def read(batches):
+    def by_text(batches):
         words = vocabulary.value
         log_known = np.log10(words.counts + 1.0)
         for batch in batches:
             for rows, data, offsets in text_groups(batch.column(2)):
-                tokens = Tokens(data, offsets)
+                part, tokens = batch.slice(rows.start, rows.stop - rows.start), Tokens(data, offsets)
                 symbol = tokens.symbols(words)
-                yield batch.slice(rows.start, rows.stop - rows.start), tokens, symbol, words, log_known
-
-    def by_text(batches):
-        for part, tokens, symbol, words, log_known in read(batches):
-            one, two = tokens.contexts(symbol)
-            p = np.empty(len(symbol))
-            for at in range(0, len(symbol), STEP):
-                s = symbol[at : at + STEP]
-                _, by_class, head, _, _, by_word = _chances(model.value, s, one[at : at + STEP], two[at : at + STEP])
-                mine = by_class[np.arange(len(s)), class_of(s)].astype(np.float64)
-                mine[head] += by_word[np.arange(len(head)), s[head] % WIDTH]
-                p[at : at + STEP] = mine
-            p /= np.log(10)
-            seen = tokens.place >= 0
-            frequent = np.where(seen, log_known[tokens.place] if len(log_known) else 0.0, 0.0)
-            rare = symbol >= WIDTH * HEADS
-            inner = frequent - np.log10(words.tail_total)[tokens.tail]
-            value = p + np.where(rare, inner, 0.0)
-            columns = [tokens.n, segment_sum(seen, tokens.first), segment_sum(frequent, tokens.first) - tokens.n * np.log10(words.n + words.v + 1.0), segment_sum(value, tokens.first)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), *map(pa.array, columns)], ["doc_id", "key", "held_out", "n_tokens", "known", "base", "value"])
-
-    def rare_words(batches):
-        for part, tokens, _, _, _ in read(batches):
-            at = np.flatnonzero(tokens.place < 0)
-            order = at[np.lexsort((tokens.hash[at], tokens.doc[at]))]
-            h, doc = tokens.hash[order], tokens.doc[order]
-            starts = np.flatnonzero((np.append(True, h[1:] != h[:-1]) | np.append(True, doc[1:] != doc[:-1]))[: len(h)])
-            rows = pa.array(doc[starts])
-            n = np.diff(np.append(starts, len(h)))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(h[starts].view(np.int64)), pa.array(n)], ["doc_id", "key", "h", "n"])
-
-    texts = docs.select("doc_id", "key", "text", "held_out").mapInArrow(by_text, "doc_id long, key long, held_out boolean, n_tokens long, known long, base double, value double")
-    rare = docs.select("doc_id", "key", "text").mapInArrow(rare_words, "doc_id long, key long, h long, n long")
+                one, two = tokens.contexts(symbol)
+                p = np.empty(len(symbol))
+                for at in range(0, len(symbol), STEP):
+                    s = symbol[at : at + STEP]
+                    _, by_class, head, _, _, by_word = _chances(model.value, s, one[at : at + STEP], two[at : at + STEP])
+                    mine = _log_chance(by_class, class_of(s))
+                    mine[head] += _log_chance(by_word, s[head] % WIDTH)
+                    p[at : at + STEP] = mine
+                p /= np.log(10)
+                seen = tokens.place >= 0
+                frequent = np.where(seen, log_known[tokens.place] if len(log_known) else 0.0, 0.0)
+                inner = frequent - np.log10(words.tail_total)[tokens.tail]
+                value = p + np.where(symbol >= WIDTH * HEADS, inner, 0.0)
+                sums = [tokens.n, segment_sum(seen, tokens.first), segment_sum(frequent, tokens.first) - tokens.n * np.log10(words.n + words.v + 1.0), segment_sum(value, tokens.first)]
+                lists = _rare(tokens, ~seen)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), *map(pa.array, sums), *lists], ["doc_id", "key", "held_out", "n_tokens", "known", "base", "value", "rare", "times"])
+
+    schema = "doc_id long, key long, held_out boolean, n_tokens long, known long, base double, value double, rare array<long>, times array<int>"
+    read = scratch.table(docs.select("doc_id", "key", "text", "held_out").mapInArrow(by_text, schema))
+    texts = read.drop("rare", "times")
+    rare = read.select("doc_id", "key", F.inline(F.arrays_zip(F.col("rare").alias("h"), F.col("times").alias("n"))))
     rest = counts.where(F.col("c") * F.lit(KNOWN) < F.lit(known.n)).select("h", "c")
     added = rare.join(rest, "h").groupBy("doc_id", "key").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("n").alias("found"))
     same = ["doc_id", "key", "held_out", "n_tokens", "known"]

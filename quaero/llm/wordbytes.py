@@ -76,7 +76,7 @@ class Words:
     """Word bounds in a group of texts: byte positions ``start``, ``end``; ``first[i]`` to ``first[i + 1]`` are text i's words."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray):
-        self.data, self.offsets = data, offsets
+        self.data, self.offsets, self.inside = data, offsets, inside
         word = np.zeros(len(data) + 2, bool)
         word[1:-1] = inside[data]
         begins = word[1:-1] & ~word[:-2]
@@ -95,8 +95,18 @@ class Words:
         return np.repeat(np.arange(len(self.n)), self.n)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        return span_hashes(self.data, self.start, self.end)
+        """A 64-bit hash of each word's bytes, as :func:`span_hashes` gives it; bytes between words count as zero."""
+        if not len(self.start):
+            return np.zeros(0, np.uint64)
+        base = self.start[0]
+        body, at, length = self.data[base:], self.start - base, self.end - self.start
+        longest = int(length.max())
+        within = np.arange(len(body), dtype=np.int32 if len(body) < 2**31 else np.int64)
+        within -= np.repeat(at.astype(within.dtype), np.diff(np.append(at, len(body))))
+        np.minimum(within, longest, out=within)
+        value = np.where(self.inside, _BYTE, np.uint64(0))[body]
+        value *= powers(longest + 1)[within]
+        return _finish(np.add.reduceat(value, at), length)
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -113,7 +123,11 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     out = np.zeros(len(start), np.uint64)
     full = length > 0
     out[full] = np.add.reduceat(value, head[full]) if full.any() else 0
-    return mix(out + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return _finish(out, length)
+
+
+def _finish(total: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return mix(total + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def grams(word: np.ndarray, k: int) -> np.ndarray:
