@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from quaero.llm.components import components
 from quaero.llm.scratch import Scratch
 from quaero.llm.skew import lookup
+from quaero.llm.wordbytes import LOWER, SPACE, Words, grams, mix, text_groups
 
 BITS = 64
 #: Values that one task holds at most, on average (16 bytes each with their order).
@@ -196,8 +197,185 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, id_col: st
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
-    """The documents whose doc_id is the smallest of their near-duplicate group (rows without doc_id stay)."""
-    groups = near_duplicates(docs, radius, width)
-    later = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(later, "doc_id", "left_anti")
+#: Sketches of whole texts for groups by similarity: lanes of 64 bits, dealt into short fingerprints of TABLE_BITS each.
+LANES, TABLE_BITS = 6, 26
+TABLES = LANES * BITS // TABLE_BITS
+
+
+def shingle_sets(column: pa.Array, width: int):
+    """Each text's distinct word shingles as 64-bit hashes, in order; one for a text of fewer words, none for one without."""
+    for _, data, offsets in text_groups(column):
+        words = Words(LOWER[data], offsets, ~SPACE)
+        hashes = words.hashes()
+        every = grams(hashes, width)
+        for start, n in zip(words.first.tolist(), words.n.tolist(), strict=False):
+            yield np.unique(every[start : start + n - width + 1]) if n >= width else grams(hashes[start : start + n], n) if n else hashes[:0]
+
+
+def sketch(own: np.ndarray) -> np.ndarray:
+    """LANES SimHashes of a text's distinct shingles, as unsigned longs; zeros for none."""
+    out = np.zeros(LANES, np.uint64)
+    for lane in range(LANES if len(own) else 0):
+        ones = np.zeros(BITS, np.int64)
+        hashed = mix(own + np.uint64((lane + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+        for at in range(0, len(own), 1 << 16):
+            ones += np.unpackbits(hashed[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[lane] = np.packbits(2 * ones > len(own), bitorder="little").view("<u8")[0]
+    return out
+
+
+def chunk(sketches: np.ndarray, table: int) -> np.ndarray:
+    """The short fingerprint of a table: TABLE_BITS bits of each sketch."""
+    bit = table * TABLE_BITS + np.arange(TABLE_BITS)
+    out = np.zeros(len(sketches), np.uint64)
+    for i, b in enumerate(bit.tolist()):
+        out |= ((sketches[:, b // BITS] >> np.uint64(b % BITS)) & _ONE) << np.uint64(i)
+    return out
+
+
+def allowed_bits(similarity: float) -> int:
+    """Differing sketch bits of pairs of that Jaccard similarity: the expected number and two and a half deviations."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    n = LANES * BITS
+    return int(n * share + 2.5 * np.sqrt(n * share * (1 - share)))
+
+
+def meet_near(ids: np.ndarray, sketches: np.ndarray, values: np.ndarray, owner: np.ndarray, allowed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (larger id, smaller id) of owners that share a value and whose sketches differ in at most ``allowed`` bits.
+
+    In each group with one value a member that is not linked yet is compared
+    with all members, until every member is linked or was compared: as many
+    comparisons as members times the groups of copies among them, not pairs.
+    """
+    order = np.lexsort((ids[owner], values))
+    values, owner = values[order], owner[order]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    shared = ~new
+    shared[:-1] |= ~new[1:]
+    owner, new = owner[shared], new[shared]
+    group = np.cumsum(new) - 1
+    free = np.ones(len(owner), bool)
+    out = [(ids[:0], ids[:0])]
+    while len(owner):
+        size = np.bincount(group)
+        place = np.where(free, np.arange(len(owner)), len(owner))
+        leader = np.full(len(size), len(owner))
+        np.minimum.at(leader, group, place)
+        on = leader[group] < len(owner)  # groups with a member to compare
+        owner, group, free, at = owner[on], group[on], free[on], leader[group[on]] - np.searchsorted(np.flatnonzero(~on), leader[group[on]])
+        if not len(owner):
+            break
+        head = owner[at]
+        near = np.bitwise_count(sketches[owner] ^ sketches[head]).sum(1) <= allowed
+        pair = near & (owner != head)
+        out.append((np.maximum(ids[owner[pair]], ids[head[pair]]), np.minimum(ids[owner[pair]], ids[head[pair]])))
+        free &= ~near
+        pairs_only = np.bincount(group)[group] <= 2  # both were compared
+        owner, group, free = owner[~pairs_only], group[~pairs_only], free[~pairs_only]
+        group = np.unique(group, return_inverse=True)[1] if len(group) else group
+    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+    both = np.unique(np.stack((a, b), 1), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def similar_links(scratch: Scratch, nodes: DataFrame, count: int, allowed: int, slice_values: int = 2_000_000) -> DataFrame:
+    """Candidate links (a > b) among ``nodes`` (id, sketch): ball hashing with half radius one in each table of short fingerprints."""
+    every = masks(1)[: TABLE_BITS + 1]
+    bits = max(0, int(np.ceil(np.log2(max(1, count * len(every) / slice_values)))))
+    codes = slice_codes(bits)
+    reach = np.unique(slice_of(every, codes))
+    record = np.dtype([("id", "<i8"), ("s", "<u8", (LANES,))])
+
+    def deal(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 20_000):
+                rows = batch.slice(at, 20_000)
+                own = np.zeros(rows.num_rows, record)
+                own["id"] = rows.column(0).to_numpy(zero_copy_only=False)
+                own["s"] = np.frombuffer(b"".join(rows.column(1).to_pylist()), "<u8").reshape(-1, LANES)
+                for table in range(TABLES):
+                    home = slice_of(chunk(own["s"], table), codes)
+                    for r in np.unique(home):
+                        mine = own[home == r].tobytes()
+                        to = (r ^ reach).tolist()
+                        yield pa.RecordBatch.from_arrays([pa.array([table] * len(to)), pa.array(to), pa.array([mine] * len(to), pa.binary())], ["table", "part", "rows"])
+
+    def join(key, table):
+        own = np.concatenate([np.frombuffer(x.as_py(), record) for x in table.column("rows")])
+        ids, sketches = own["id"].copy(), own["s"].copy()
+        number, part = key[0].as_py(), key[1].as_py()
+        short = chunk(sketches, number)
+        home, mask_slice = slice_of(short, codes), slice_of(every, codes)
+        values, owner = [], []
+        for m, at in zip(every, mask_slice, strict=True):
+            mine = np.flatnonzero(home == (at ^ part))
+            values.append(short[mine] ^ m)
+            owner.append(mine)
+        a, b = meet_near(ids, sketches, np.concatenate(values), np.concatenate(owner), allowed)
+        return pa.table({"a": a, "b": b})
+
+    dealt = nodes.select("id", "sketch").mapInArrow(deal, "table long, part long, rows binary")
+    return scratch.table(dealt.groupBy("table", "part").applyInArrow(join, "a long, b long").distinct())
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of the documents that are not the smallest of their group of similar texts.
+
+    Texts whose distinct word shingles have that Jaccard similarity or more are
+    linked.  One fingerprint of 64 bits and a radius of four finds copies that
+    are all but equal; at 0.8 some ten of 64 bits differ.  So a sketch of
+    LANES x 64 bits is dealt into TABLES short fingerprints, balls of radius
+    one (radius two for pairs) meet in each, colliding pairs are compared by
+    their sketches, and those that remain by their shingles.  A pair at 0.8
+    exactly meets in some table with a chance of 0.97, closer ones with more.
+    Rows without doc_id take no part.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "similar")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+
+    def sketched(batches):
+        for batch in batches:
+            made = [sketch(x).tobytes() for x in shingle_sets(batch.column(1), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "sketch"])
+
+    prints = scratch.table(texts.mapInArrow(sketched, "doc_id long, sketch binary"))
+    nodes = scratch.table(prints.groupBy("sketch").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
+    count, total = nodes.agg(F.count("*"), F.sum("n")).first()
+    maybe = similar_links(scratch, nodes, count, allowed_bits(similarity))
+    links = _verified(scratch, texts, maybe, width, similarity)
+    stars = components(scratch, links)
+    placed = scratch.table(nodes.join(stars.withColumnRenamed("a", "id"), "id", "left").select("sketch", "n", F.coalesce("b", "id").alias("component_id")))
+    return lookup(prints, placed, "sketch", "n", total or 0).where("doc_id <> component_id").select("doc_id", "component_id")
+
+
+def _verified(scratch: Scratch, texts: DataFrame, links: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The links (a > b) whose texts' shingles are as similar as asked."""
+
+    def shingled(batches):
+        for batch in batches:
+            made = [x.view(np.int64) for x in shingle_sets(batch.column(1), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    def compare(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("uses"))
+    needed = texts.join(ends.select("doc_id"), "doc_id").select("doc_id", "text").mapInArrow(shingled, "id long, shingles array<long>")
+    sets = scratch.table(needed.groupBy("id").agg(F.first("shingles").alias("shingles")).join(ends.withColumnRenamed("doc_id", "id"), "id"))
+    total = ends.agg(F.sum("uses")).first()[0] or 0
+    one = lookup(links, sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"), "uses"), "a", "uses", total).select("a", "b", "x")
+    two = lookup(one, sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"), "uses"), "b", "uses", total).select("a", "b", "x", "y")
+    return scratch.table(two.mapInArrow(compare, "a long, b long"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents whose doc_id is the smallest of their group of similar texts (rows without doc_id stay)."""
+    return docs.join(similar_groups(docs, width, similarity).select("doc_id"), "doc_id", "left_anti")

@@ -75,5 +75,41 @@ def test_long_chain_settles(spark):
 
 
 def test_one_of_each_group_stays(make):
-    docs = make([(1, "w " * 50), (2, "w " * 50), (3, "other words here now"), (None, "w " * 50)])
-    assert sorted((r.doc_id or 0) for r in simhash.keep_one(docs).collect()) == [0, 1, 3]
+    docs = make([(1, "w " * 50), (2, "w " * 50), (3, "other words here now"), (None, "w " * 50), (4, None), (5, " "), (6, "a b")])
+    assert sorted((r.doc_id or 0) for r in simhash.keep_one(docs).collect()) == [0, 1, 3, 4, 6]
+    assert simhash.keep_one(make([])).count() == 0
+
+
+def test_similar_texts_are_found_and_others_left(make):
+    rng = np.random.default_rng(8)
+    rows, group, sets = [], [], []
+    for i in range(60):
+        words = [f"w{k}" for k in rng.integers(0, 2000, 200)]
+        for copy in range(3):
+            own = list(words)
+            for at in rng.choice(200, [0, 2, 8][copy], replace=False):
+                own[at] = f"new{i}x{copy}x{at}"
+            rows.append((len(rows), " ".join(own)))
+            group.append(i)
+            sets.append({" ".join(own[k : k + 5]) for k in range(196)})
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(make(rows)).collect()}
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if group[a] == group[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(near) > 60
+    assert sum(got.get(a, a) == got.get(b, b) for a, b in near) >= 0.95 * len(near)
+    linked = {(a, b) for a, b in near} | {(b, a) for a, b in near}
+    for a, b in got.items():  # whatever was grouped is connected by similar pairs
+        seen, todo = {a}, [a]
+        while todo:
+            x = todo.pop()
+            for y in range(3 * group[a], 3 * group[a] + 3):
+                if (x, y) in linked and y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        assert b in seen
+
+
+def test_comparing_a_group_of_copies_is_not_quadratic():
+    ids = np.arange(5000)
+    sketches = np.zeros((5000, simhash.LANES), np.uint64)
+    a, b = simhash.meet_near(ids, sketches, np.zeros(5000, np.uint64), np.arange(5000), 75)
+    assert a.tolist() == list(range(1, 5000)) and not b.any()
