@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of the smallest doc_id."""
+    """One document, that of the smallest doc_id, of each group of texts whose five-word shingles are 0.8 similar or more."""
     return simhash.keep_one(docs)
 
 
