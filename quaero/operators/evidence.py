@@ -144,7 +144,7 @@ def audit_with(offsets, prompts: DataFrame, limit: int, marker: str = MARKER) ->
         marks = list(pattern.finditer(text))
         ends = [m.start() for m in marks[1:]] + [len(text)]
         visible, full, partial = [], [], []
-        for mark, end in zip(marks, ends, strict=True):
+        for mark, end in zip(marks, ends, strict=False):
             inside = [i for i, (a, b) in enumerate(spans) if b > mark.start() and a < end]
             seen = sum(i < limit for i in inside)
             if seen:
