@@ -1,5 +1,7 @@
 import pytest
 
+from awkward_rows import AWKWARD
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -17,9 +19,6 @@ def make(spark):
     return run
 
 
-AWKWARD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (None, "one two three"), (None, None), (5, "Ünïcode ſ 你好 😀 " * 3), (6, "a " * 30000), (7, "x" * 200000), (8, "\n\n\n")]
-
-
 @pytest.fixture(scope="session")
 def awkward(make):
     return make(AWKWARD)

@@ -40,7 +40,7 @@ def test_equals_brute_force(spark, make, awkward, block):
     expected = [(i, *plain(t, ITEMS)) for i, t in TEXTS]
     order = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted((tuple(r) for r in out), key=order) == sorted(expected, key=order)
-    from conftest import AWKWARD
+    from awkward_rows import AWKWARD
 
     assert d.decontaminate(awkward, bench, block=block).count() == len(AWKWARD)
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from quaero.llm import html_extract, maxent_lm, mixing, quality_crf, token_count, toxicity
-from conftest import AWKWARD
+from awkward_rows import AWKWARD
 
 SF = "/root/testdata/sf0.001"
 

@@ -31,7 +31,7 @@ def test_equals_brute_force(make, awkward):
     assert sorted((tuple(r)[:5] for r in out), key=order) == sorted([(i, *base(t)) for i, t in TEXTS], key=order)
     spans = {r.doc_id: r.spans for r in out}
     assert spans[12] == "pem:0:31" and spans[9] == "" and spans[2] == "assign:13:42"
-    from conftest import AWKWARD
+    from awkward_rows import AWKWARD
 
     assert s.scan(awkward).count() == len(AWKWARD) and s.scan(make([])).count() == 0
 

@@ -34,7 +34,7 @@ def smallest(ids, prints):
 
 
 def test_awkward_rows(awkward):
-    from conftest import AWKWARD
+    from awkward_rows import AWKWARD
 
     out = simhash.near_duplicates(awkward).collect()
     prints = [plain_fingerprint(t) for _, t in AWKWARD]

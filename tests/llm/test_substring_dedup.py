@@ -48,7 +48,7 @@ def test_equals_brute_force(make, hot, shard):
 
 
 def test_awkward_and_empty(make, awkward):
-    from conftest import AWKWARD
+    from awkward_rows import AWKWARD
 
     order = lambda r: (r[0] is None, r[0] or 0, r[1:])
     assert sorted((tuple(r) for r in s.dedup(awkward).collect()), key=order) == sorted(plain(AWKWARD), key=order)
