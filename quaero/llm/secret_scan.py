@@ -113,7 +113,8 @@ def scan(docs: DataFrame, ledger: str | None = None, rules=RULES, id_col: str =
     paths = versions.select("doc_id", "blob")
     uses = scratch.table(paths.groupBy("blob").agg(F.count("*").alias("n")))
     total = uses.agg(F.sum("n")).first()[0] or 0
-    return lookup(paths, findings.join(uses, "blob"), "blob", "n", total, "left").select("doc_id", "blob", "found")
+    # every blob is in the lookup, so that one that many paths have is hot whether or not anything was found in it
+    return lookup(paths, uses.join(findings, "blob", "left"), "blob", "n", total).select("doc_id", "blob", "found")
 
 
 _LEDGER = "blob string, version string, found array<struct<start:bigint,kind:int,end:bigint>>"
