@@ -246,6 +246,8 @@ def meet_near(ids: np.ndarray, sketches: np.ndarray, values: np.ndarray, owner:
     In each group with one value a member that is not linked yet is compared
     with all members, until every member is linked or was compared: as many
     comparisons as members times the groups of copies among them, not pairs.
+    Of the links, those of a closest spanning forest stay: for any distance
+    they connect what all links up to that distance connect.
     """
     order = np.lexsort((ids[owner], values))
     values, owner = values[order], owner[order]
@@ -256,7 +258,7 @@ def meet_near(ids: np.ndarray, sketches: np.ndarray, values: np.ndarray, owner:
     owner, new = owner[shared], new[shared]
     group = np.cumsum(new) - 1
     free = np.ones(len(owner), bool)
-    out = [(ids[:0], ids[:0])]
+    out = [(owner[:0], owner[:0], owner[:0])]
     while len(owner):
         size = np.bincount(group)
         place = np.where(free, np.arange(len(owner)), len(owner))
@@ -267,16 +269,38 @@ def meet_near(ids: np.ndarray, sketches: np.ndarray, values: np.ndarray, owner:
         if not len(owner):
             break
         head = owner[at]
-        near = np.bitwise_count(sketches[owner] ^ sketches[head]).sum(1) <= allowed
+        far = np.bitwise_count(sketches[owner] ^ sketches[head]).sum(1)
+        near = far <= allowed
         pair = near & (owner != head)
-        out.append((np.maximum(ids[owner[pair]], ids[head[pair]]), np.minimum(ids[owner[pair]], ids[head[pair]])))
+        out.append((owner[pair], head[pair], far[pair]))
         free &= ~near
         pairs_only = np.bincount(group)[group] <= 2  # both were compared
         owner, group, free = owner[~pairs_only], group[~pairs_only], free[~pairs_only]
         group = np.unique(group, return_inverse=True)[1] if len(group) else group
-    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-    both = np.unique(np.stack((a, b), 1), axis=0)
-    return both[:, 0], both[:, 1]
+    a, b, far = (np.concatenate(x) for x in zip(*out, strict=True))
+    keep = closest_forest(a, b, far, ids)
+    a, b = ids[a[keep]], ids[b[keep]]
+    return np.maximum(a, b), np.minimum(a, b)
+
+
+def closest_forest(a: np.ndarray, b: np.ndarray, far: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The places of links a-b of least total distance that connect all that the links connect (ties by ids)."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    keep = []
+    order = np.lexsort((np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b]), far))
+    for i, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            keep.append(i)
+    return np.array(keep, np.int64)
 
 
 def similar_links(scratch: Scratch, nodes: DataFrame, count: int, allowed: int, slice_values: int = 2_000_000) -> DataFrame:
