@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quaero.functions.text import TOKEN, WHITE
+from quaero.operators.lexical import SMALL_QUERIES
 
 #: How many vectors of the table are queries.
 VECTOR_QUERIES = 20
@@ -29,8 +30,13 @@ def questions(spark, sf_dir):
 
 
 def gold(spark, sf_dir):
-    """(query_id, id): documents that hold a question's text whole; the questions are a small stated set."""
-    q = F.broadcast(questions(spark, sf_dir).where("question <> ''"))
+    """(query_id, id): documents that hold a question's text whole.
+
+    The questions are a stated set; up to SMALL_QUERIES of them (counted) are broadcast.
+    """
+    q = questions(spark, sf_dir).where("question <> ''")
+    if q.limit(SMALL_QUERIES + 1).count() <= SMALL_QUERIES:
+        q = F.broadcast(q)
     return corpus(spark, sf_dir).join(q, F.contains("text", "question")).select("query_id", "id")
 
 
