@@ -247,7 +247,8 @@ def meet_near(ids: np.ndarray, sketches: np.ndarray, values: np.ndarray, owner:
     with all members, until every member is linked or was compared: as many
     comparisons as members times the groups of copies among them, not pairs.
     Of the links, those of a closest spanning forest stay: for any distance
-    they connect what all links up to that distance connect.
+    they connect what all links up to that distance connect.  By shingles some
+    of them may fail where a link left out would not: see :func:`meet_apart`.
     """
     order = np.lexsort((ids[owner], values))
     values, owner = values[order], owner[order]
@@ -303,13 +304,49 @@ def closest_forest(a: np.ndarray, b: np.ndarray, far: np.ndarray, ids: np.ndarra
     return np.array(keep, np.int64)
 
 
+def meet_apart(ids: np.ndarray, sketches: np.ndarray, roots: np.ndarray, values: np.ndarray, owner: np.ndarray, allowed: int, step: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (larger id, smaller id) of owners with different roots that share a value and whose sketches differ in at most ``allowed`` bits.
+
+    Members of a group that have one root are not compared with each other.
+    ``step`` bounds the pairs that are held at once.
+    """
+    order = np.lexsort((ids[owner], roots[owner], values))
+    values, owner = values[order], owner[order]
+    first = np.ones(len(values), bool)
+    first[1:] = values[1:] != values[:-1]
+    other = first.copy()
+    other[1:] |= roots[owner[1:]] != roots[owner[:-1]]
+    here = np.arange(len(values))
+    start = np.maximum.accumulate(np.where(first, here, 0))
+    n = np.maximum.accumulate(np.where(other, here, 0)) - start  # members before it of other roots
+    some = np.flatnonzero(n)
+    done, out = np.cumsum(n[some]), [np.empty((0, 2), np.int64)]
+    at = 0
+    while at < len(some):
+        end = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + step, "right")))
+        own, times = some[at:end], n[some[at:end]]
+        a = owner[np.repeat(own, times)]
+        b = owner[np.repeat(start[own], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        near = np.bitwise_count(sketches[a] ^ sketches[b]).sum(1) <= allowed
+        a, b = ids[a[near]], ids[b[near]]
+        out.append(np.stack((np.maximum(a, b), np.minimum(a, b)), 1))
+        at = end
+    pairs = np.unique(np.concatenate(out), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
 def similar_links(scratch: Scratch, nodes: DataFrame, count: int, allowed: int, slice_values: int = 2_000_000) -> DataFrame:
-    """Candidate links (a > b) among ``nodes`` (id, sketch): ball hashing with half radius one in each table of short fingerprints."""
+    """Candidate links (a > b) among ``nodes`` (id, sketch): ball hashing with half radius one in each table of short fingerprints.
+
+    Each task gives a forest of its links; where ``nodes`` have a column root,
+    all its pairs of different roots.
+    """
     every = masks(1)[: TABLE_BITS + 1]
     bits = max(0, int(np.ceil(np.log2(max(1, count * len(every) / slice_values)))))
     codes = slice_codes(bits)
     reach = np.unique(slice_of(every, codes))
-    record = np.dtype([("id", "<i8"), ("s", "<u8", (LANES,))])
+    rooted = "root" in nodes.columns
+    record = np.dtype([("id", "<i8"), *([("root", "<i8")] if rooted else []), ("s", "<u8", (LANES,))])
 
     def deal(batches):
         for batch in batches:
@@ -318,6 +355,8 @@ def similar_links(scratch: Scratch, nodes: DataFrame, count: int, allowed: int,
                 own = np.zeros(rows.num_rows, record)
                 own["id"] = rows.column(0).to_numpy(zero_copy_only=False)
                 own["s"] = np.frombuffer(b"".join(rows.column(1).to_pylist()), "<u8").reshape(-1, LANES)
+                if rooted:
+                    own["root"] = rows.column(2).to_numpy(zero_copy_only=False)
                 for table in range(TABLES):
                     home = slice_of(chunk(own["s"], table), codes)
                     for r in np.unique(home):
@@ -336,10 +375,11 @@ def similar_links(scratch: Scratch, nodes: DataFrame, count: int, allowed: int,
             mine = np.flatnonzero(home == (at ^ part))
             values.append(short[mine] ^ m)
             owner.append(mine)
-        a, b = meet_near(ids, sketches, np.concatenate(values), np.concatenate(owner), allowed)
+        values, owner = np.concatenate(values), np.concatenate(owner)
+        a, b = meet_apart(ids, sketches, own["root"].copy(), values, owner, allowed) if rooted else meet_near(ids, sketches, values, owner, allowed)
         return pa.table({"a": a, "b": b})
 
-    dealt = nodes.select("id", "sketch").mapInArrow(deal, "table long, part long, rows binary")
+    dealt = nodes.select("id", "sketch", *["root"] * rooted).mapInArrow(deal, "table long, part long, rows binary")
     return scratch.table(dealt.groupBy("table", "part").applyInArrow(join, "a long, b long").distinct())
 
 
@@ -353,7 +393,10 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     one (radius two for pairs) meet in each, colliding pairs are compared by
     their sketches, and those that remain by their shingles.  A pair at 0.8
     exactly meets in some table with a chance of 0.97, closer ones with more.
-    Rows without doc_id take no part.
+    This is done twice: first for a forest of each task's pairs, which joins
+    most copies at little cost, then for every pair that meets and is not yet
+    in one group by links that passed.  So no pair goes untested for another's
+    sake.  Rows without doc_id take no part.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "similar")
@@ -367,9 +410,12 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     prints = scratch.table(texts.mapInArrow(sketched, "doc_id long, sketch binary"))
     nodes = scratch.table(prints.groupBy("sketch").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
     count, total = nodes.agg(F.count("*"), F.sum("n")).first()
-    maybe = similar_links(scratch, nodes, count, allowed_bits(similarity))
-    links = _verified(scratch, texts, maybe, width, similarity)
-    stars = components(scratch, links)
+    allowed = allowed_bits(similarity)
+    maybe = similar_links(scratch, nodes, count, allowed)
+    near = components(scratch, _verified(scratch, texts, maybe, width, similarity))
+    rooted = nodes.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", "sketch", F.coalesce("b", "id").alias("root"))
+    rest = _verified(scratch, texts, similar_links(scratch, rooted, count, allowed), width, similarity)
+    stars = components(scratch, scratch.table(near.union(rest)))
     placed = scratch.table(nodes.join(stars.withColumnRenamed("a", "id"), "id", "left").select("sketch", "n", F.coalesce("b", "id").alias("component_id")))
     return lookup(prints, placed, "sketch", "n", total or 0).where("doc_id <> component_id").select("doc_id", "component_id")
 

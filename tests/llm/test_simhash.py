@@ -113,3 +113,36 @@ def test_comparing_a_group_of_copies_is_not_quadratic():
     sketches = np.zeros((5000, simhash.LANES), np.uint64)
     a, b = simhash.meet_near(ids, sketches, np.zeros(5000, np.uint64), np.arange(5000), 75)
     assert a.tolist() == list(range(1, 5000)) and not b.any()
+
+
+def test_all_pairs_of_different_roots_are_given():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, simhash.LANES, dtype=np.uint64)
+    sketches = np.array([base ^ (np.uint64(1) << rng.integers(0, 63, simhash.LANES, dtype=np.uint64)) for _ in range(60)])
+    ids, roots, values, owner = rng.permutation(60) + 100, rng.integers(0, 7, 60), rng.integers(0, 4, 150).astype(np.uint64), rng.integers(0, 60, 150)
+    pairs = {(x, y) for x in range(150) for y in range(150) if values[x] == values[y]}
+    pairs = {(owner[x], owner[y]) for x, y in pairs if roots[owner[x]] != roots[owner[y]] and np.bitwise_count(sketches[owner[x]] ^ sketches[owner[y]]).sum() <= 10}
+    expected = sorted({(max(ids[x], ids[y]), min(ids[x], ids[y])) for x, y in pairs})
+    assert len(expected) > 100
+    for step in (1, 50, 500_000):
+        a, b = simhash.meet_apart(ids, sketches, roots, values, owner, 10, step)
+        assert list(zip(a, b)) == expected
+    assert not len(simhash.meet_apart(ids, sketches, roots * 0, values, owner, 10)[0])
+
+
+def test_families_near_the_bound_lose_no_link(make):
+    """Copies edited at random, some pairs on each side of 0.8: groups are those of all pairs of 0.8 or more."""
+    rng = np.random.default_rng(13)
+    rows, sets = [], []
+    for i in range(10):
+        words = [f"w{k}" for k in rng.integers(0, 3000, 300)]
+        for copy in range(16):
+            own = list(words)
+            for at in rng.choice(300, rng.integers(3, 5), replace=False):
+                own[at] = f"new{i}x{copy}x{at}"
+            rows.append((len(rows), " ".join(own)))
+            sets.append({" ".join(own[k : k + 5]) for k in range(296)})
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(make(rows)).collect()}
+    near = [(a, b) for a in range(len(rows)) for b in range(a - a % 16, a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    lost = [(a, b) for a, b in near if got.get(a, a) != got.get(b, b)]
+    assert len(near) > 500 and not lost, (len(near), len(lost))
