@@ -111,7 +111,7 @@ def run_summary(spark, sf_dir):
 @query(f"SELECT method, record_count = ok_count AND record_count = 40 AS all_ok, record_count = 40 AND ok_count = 40 AND partial_blocks = 0 AND consistency_failures = 0 AND truncated_count = 0 AS ready FROM ({_SUMMARY})")
 def acceptance_flags(spark, sf_dir):
     summary = reports.run_summary(_records(spark, sf_dir), "method", packed=True)
-    return reports.acceptance(summary, 40).select("method", "all_ok", "ready")
+    return reports.acceptance(summary, t.questions(spark, sf_dir).count()).select("method", "all_ok", "ready")
 
 
 @query("SELECT event_type AS retriever, round(avg(value), 4) AS avg_latency_ms FROM events GROUP BY event_type")

@@ -147,3 +147,15 @@ def test_command_line(spark, tmp_path):
     cli.main(["evaluate", "--reconciled", p["r"] + "/rows", "--output", p["o"], "--bootstrap-samples", "100"])
     assert files.read_csv(spark, p["o"] + "/subsets").where("gold_definition = 'raw_clean' and retriever = 'bm25'").first().mrr == "1.0"
     assert spark.read.parquet(p["o"] + "/ranked").where("retriever = 'bm25'").count() == spark.read.parquet(p["o"] + "/ranked").where("retriever = 'bm25'").distinct().count()
+
+
+def test_acceptance_expects_a_record_of_each_question(spark, monkeypatch):
+    from quaero.plans import evidence as plans
+
+    schema = "method string, query_id long, status string, truncated boolean, visible array<long>, full array<long>, partial array<long>, included array<long>, tokens long, packed_tokens long, prompt string"
+    for answered, whole in ((3, True), (2, False)):
+        rows = [("bm25", i, "ok", False, [1], [1], [], [1], 5, 5, "[法条ID 1] x") for i in range(answered)]
+        monkeypatch.setattr(plans.t, "questions", lambda spark, sf_dir: spark.range(3).withColumnRenamed("id", "query_id"))
+        monkeypatch.setattr(plans, "_records", lambda spark, sf_dir, rows=rows: spark.createDataFrame(rows, schema))
+        row = plans.acceptance_flags(spark, "").first()
+        assert (row.all_ok, row.ready) == (whole, whole)
