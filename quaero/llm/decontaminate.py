@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaero.llm.filters import keep_rows
 from quaero.llm.scratch import Scratch
 from quaero.llm.wordbytes import ALNUM, LOWER, Words, covered, gram_in_doc, grams, mix, text_groups
 
@@ -263,10 +264,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     return _many_passes(docs, all_blocks())
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated (rows without doc_id stay)."""
-    bad = decontaminate(docs, benchmark).where("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 8, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` without any occurrence of a benchmark window.
+
+    However long a text is, one window of an item (an item of fewer words is a
+    window of its own) takes it out: the share that :func:`decontaminate`
+    reports says how much of a text is benchmark, not whether it leaks any.
+    Each row is judged by its own text, so rows without doc_id or of one doc_id
+    are too; null and empty texts stay, and so do all for an empty benchmark.
+    """
+    scratch, before = Scratch(docs.sparkSession, "clean"), None
+    for part in _blocks(benchmark, "item_id", "text", block):
+        if before is not None:  # a benchmark of many blocks: one stored pass for each
+            docs = scratch.table(before)
+        before = keep_rows(docs, _without_hits(docs.sparkSession.sparkContext.broadcast(Block(*part, window, k))))
+    return before
+
+
+def _without_hits(shared):
+    def good(column):
+        out = np.ones(len(column), bool)
+        for rows, _, doc, start, _, _ in _spans(column, shared.value):
+            out[rows.start + doc[start]] = False
+        return out
+
+    return good
 
 
 #: The same result in DuckDB SQL.

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaero.llm.filters import keep_rows
 from quaero.llm.wordbytes import SPACE, Words, covered, gram_in_doc, grams, mix, segment_sum, span_hashes, text_groups
 
 #: Labelled documents, and lines of each, that the model is fitted on.
@@ -229,6 +230,14 @@ def fit_from_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, li
 _RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
 
 
+def _verdict(found: Lines, model: Crf, least_share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base_failed, kept, content_share) of each text."""
+    label = viterbi(model, found.features, found.first)
+    content = segment_sum(found.words * (label == 1), found.first) / np.maximum(1, found.n_words)
+    failed = (found.n_words < 50) | (100 * found.n_repeat_words > 50 * found.n_words)
+    return failed, ~failed & (content >= least_share), content
+
+
 def judge(docs: DataFrame, model: Crf, least_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The base counts and the verdict for each row of ``docs``.
 
@@ -244,16 +253,13 @@ def judge(docs: DataFrame, model: Crf, least_share: float = 0.5, id_col: str = "
         for batch in batches:
             for part, data, offsets in text_groups(batch.column(1)):
                 found = read_lines(data, offsets)
-                label = viterbi(shared.value, found.features, found.first)
-                content = segment_sum(found.words * (label == 1), found.first) / np.maximum(1, found.n_words)
-                failed = (found.n_words < 50) | (100 * found.n_repeat_words > 50 * found.n_words)
-                columns = (found.n_words, found.word_chars, found.n_symbols, found.n_dup_lines, found.n_repeat_words, failed, ~failed & (content >= least_share), content)
+                columns = (found.n_words, found.word_chars, found.n_symbols, found.n_dup_lines, found.n_repeat_words, *_verdict(found, shared.value, least_share))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], *map(pa.array, columns)], [f.split()[0] for f in _RESULT.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _RESULT)
 
 
-def keep_good(docs: DataFrame, model: Crf) -> DataFrame:
-    """The rows of ``docs`` whose text is kept; rows without doc_id go, as nothing can name them."""
-    kept = judge(docs, model).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+def keep_good(docs: DataFrame, model: Crf, least_share: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text :func:`judge` keeps, each by its own text, with or without doc_id; null and empty texts go."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, lambda column: np.concatenate([np.zeros(0, bool), *(_verdict(read_lines(data, offsets), shared.value, least_share)[1] for _, data, offsets in text_groups(column))]))

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from awkward_rows import AWKWARD
 from quaero.llm import decontaminate as d
 
 
@@ -40,8 +41,6 @@ def test_equals_brute_force(spark, make, awkward, block):
     expected = [(i, *plain(t, ITEMS)) for i, t in TEXTS]
     order = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted((tuple(r) for r in out), key=order) == sorted(expected, key=order)
-    from awkward_rows import AWKWARD
-
     assert d.decontaminate(awkward, bench, block=block).count() == len(AWKWARD)
 
 
@@ -50,4 +49,20 @@ def test_empty_tables(spark, make):
     assert d.decontaminate(make([]), bench).count() == 0
     none = d.decontaminate(make(TEXTS), bench.limit(0)).collect()
     assert len(none) == len(TEXTS) and not any(r.contaminated for r in none)
-    assert {r.doc_id for r in d.drop_contaminated(make(TEXTS), bench).collect()} == {i for i, t in TEXTS if i is None or not plain(t, ITEMS)[-1]}
+
+
+@pytest.mark.parametrize("block", [16_000_000, 300])
+def test_stage_drops_every_text_with_a_window(spark, make, awkward, block):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    passage = " ".join(f"word{i}" for i in range(7, 20))
+    rows = [*TEXTS, (20, "z " * 2500 + passage + " z" * 2500), (20, "z " * 5000), (None, "z"), (21, "z " * 2500 + passage[:-1] + " z" * 2500)]
+    docs = make(rows)
+    out = d.drop_contaminated(docs, bench, block=block)
+    assert out.dtypes == docs.dtypes
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    expected = [(i, t) for i, t in rows if not plain(t, ITEMS)[1]]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=order) == sorted(expected, key=order)
+    assert (20, "z " * 5000) in expected and (None, "z") in expected and sum(i in (20, 21) for i, _ in expected) == 2
+    assert d.drop_contaminated(make([]), bench, block=block).count() == 0
+    assert d.drop_contaminated(docs, bench.limit(0), block=block).count() == len(rows)
+    assert d.drop_contaminated(awkward, bench, block=block).count() == sum(not plain(t, ITEMS)[1] for _, t in AWKWARD)
