@@ -1,112 +1,156 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read as blocks of text, each with its root-to-block tag path.  Per
-path the text length, punctuation and link text of its blocks are summed; the
-path's ratio is text per block times punctuation per block, less for link text.
-A block's score is its path's ratio, smoothed along the page.  Blocks above a
-share of the page's weighted mean are content, and so is everything in the
-article element that holds most of their text: short paragraphs and headings
-there are not lost.  Elements that say what they are (navigation, footers,
-forms, adverts, notices, comments, scripts) are passed over first.
+path the text length, punctuation and link text of its blocks are summed.  A
+path's ratio is text per block times punctuation per block, less for link text,
+times a weight that says how its elements are used: paragraphs and headings
+hold text, bare containers less, and elements that call themselves navigation,
+adverts or comments little.  A block's score is the geometric mean of its path's
+ratio and of that ratio smoothed along the blocks of its parent element; a
+heading has at least the score of what it stands above.
+
+Blocks above a share of the page's mean score are core content.  The main
+element is the one with the most core text less other text.  Of the blocks in it
+those are left out whose path is mostly links or weighs little, so short
+paragraphs are not lost.  Only what is not text at all
+(scripts, styles, hidden elements and the like) is passed over by name.
+
+Reading takes time in proportion to the page: an element knows its parent and
+its path's number, so neither depth nor broken markup is scanned again.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
-from dataclasses import dataclass
+from collections import Counter
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A block is content from this share of the text-weighted mean score on.
-THRESHOLD = 0.15
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: A block is core content from this share of the text-weighted mean score on; a path belongs to the main element from this weight on.
+THRESHOLD, LEAST_WEIGHT = 0.15, 0.1
+#: Weights of elements that are used for one purpose, and of a block whose own element is a bare container.
+MAIN, ASIDE, BARE = 4.0, 0.02, 0.02
+
+_QUOTED = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?=/?[a-zA-Z])|<[!?/][^>]*(?:>|\Z)""", re.S)
+_SIMPLE = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _RAW = frozenset("script style textarea title noscript template iframe".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-_PASSED = frozenset("head nav footer aside form script style noscript template iframe button select option textarea title svg canvas object dialog menu".split())
-_HOLDERS = frozenset(("article", "main"))
-_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disqus footer form gdpr header login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related reply replies share sharing sidebar signup social sponsor sponsored subscribe toolbar".split()
+#: What has no text of the page's own.
+_NO_TEXT = frozenset("head script style noscript template iframe button select option optgroup datalist textarea title svg canvas object audio video map math dialog".split())
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption blockquote pre summary".split())
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold one block, so none of them is a page's main element.
+_ONE = _HEADING | frozenset("p pre caption figcaption summary dt".split())
+_MAIN = frozenset(("article", "main"))
+_ASIDE = frozenset("nav footer aside form menu".split())
+_ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
+#: Class and id names of containers that hold none of the main text, alone or with an ending that says what kind of box it is.
+_ASIDE_NAME = re.compile(
+    r"(?:ads?|adverts?|advertisements?|advertising|alerts?|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|login|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promos?|promoted|recommended|related|replies|shar(?:e|ing)|sidebar|signup|social|sponsor(?:s|ed)?|subscribe|toolbar)"
+    r"(?:[-_]?(?:area|bar|block|box|container|form|holder|inner|links?|list|notice|nav|panel|popup|posts?|region|section|slot|thread|unit|widget|wrap(?:per)?|\d+))*",
+    re.I,
 )
 _PUNCTUATION = re.compile(r"[,.;:!?…、。，！？；：]")
-_KEEP_FOR_CLASS = frozenset(("html", "body", "article", "main"))
+_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
 @dataclass
-class Block:
-    path: str
-    text: str
-    linked: int
-    holder: int  # number of the article or main element around it, 0 for none
-
-
-def _passed(tag: str, attributes: str, in_holder: bool) -> bool:
-    """Whether an element is not part of the main text, by its name or what its attributes say."""
-    if tag in _PASSED:
-        return True
-    if tag == "header":
-        return not in_holder
-    if not attributes or tag in _KEEP_FOR_CLASS:
-        return False
+class Page:
+    """Blocks of text in page order, and the elements around them in the order of their start tags."""
+
+    text: list[str] = field(default_factory=list)
+    linked: list[int] = field(default_factory=list)  # characters inside links
+    element: list[int] = field(default_factory=list)  # the innermost element of each block
+    path: list[int] = field(default_factory=list)  # each block's path
+    parent: list[int] = field(default_factory=lambda: [-1])  # each element's parent; element 0 is the page
+    tag: list[str] = field(default_factory=lambda: [""])  # by element
+    weight: list[float] = field(default_factory=lambda: [BARE])  # by path
+
+
+def _use(tag: str, attributes: str) -> float:
+    """How an element is used by what it calls itself: 0 not for text, else a weight of its path."""
+    if tag in _NO_TEXT:
+        return 0.0
+    weight = MAIN if tag in _MAIN else ASIDE if tag in _ASIDE else 1.0
+    if not attributes or attributes.isspace():
+        return weight
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id", "role") and any(x in _NAMES for x in re.split(r"[\s_-]+", value)):
-            return True
-    return False
-
-
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page outside passed elements, in page order; white space is one space."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, passed, holder
+        name, value = name.lower(), (a or b or c).strip().lower()
+        if name == "hidden" and value != "until-found" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            return 0.0
+        if tag in _TEXT or tag in ("html", "body", "main"):
+            continue  # a paragraph's class says how it looks, a page's what it has
+        if name == "role" and value in _ASIDE_ROLES or name in ("class", "id") and any(_ASIDE_NAME.fullmatch(x) for x in value.split()):
+            weight = min(weight, ASIDE)
+    return weight
+
+
+def read(page: str) -> Page:
+    """The text blocks of a page; white space is one space.  Blocks end where any element does that is not of one line of text."""
+    out = Page()
+    paths: dict[tuple[int, str, float], int] = {}
+    # open elements that are not inline: tag, element, path, weight of the way to it, whether it is passed over
+    stack: list[tuple[str, int, int, float, bool]] = [("", 0, 0, 1.0, False)]
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    linked = holders = 0
+    linked, link_from = 0, -1  # the depth at which a link began
 
     def flush():
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block("/".join(t for t, _, _ in stack if t not in _INLINE), text, linked, stack[-1][2] if stack else 0))
+                out.text.append(text)
+                out.linked.append(linked)
+                out.element.append(stack[-1][1])
+                out.path.append(stack[-1][2])
             parts.clear()
         linked = 0
 
     def say(raw: str):
         nonlocal linked
-        if raw and not (stack and stack[-1][1]):
+        if raw and not stack[-1][4]:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if any(t == "a" for t, _, _ in stack):
+            if link_from >= 0:
                 linked += len(text.strip())
 
-    def pop_to(i: int):
-        if any(t not in _INLINE for t, _, _ in stack[i:]):
-            flush()
-        del stack[i:]
+    def pop():
+        nonlocal link_from
+        opened[stack.pop()[0]] -= 1
+        if link_from >= len(stack):
+            link_from = -1
 
-    at = 0
-    while match := _TOKEN.search(page, at):
+    at, pattern = 0, _QUOTED
+    while match := pattern.search(page, at):
+        if match.end() == match.start() + 1:  # an attribute is never closed: from here on tags end at the next bracket
+            pattern = _SIMPLE
+            continue
         say(page[at : match.start()])
         at = match.end()
-        tag = match[2] or match[5]
+        tag = match[2]
         if tag is None:
             continue
-        tag, closing, attributes = tag.lower(), match[1] or match[4], match[3] or match[6] or ""
+        tag, closing, attributes = tag.lower(), match[1], match[3]
+        if tag == "a":
+            link_from = -1 if closing else len(stack) - 1
+        if tag in _INLINE:
+            continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
-                if stack[i][0] in _HOLDERS and tag in _INLINE:
-                    break
+            if opened[tag] > 0:
+                flush()
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
+            elif tag == "p":
+                flush()
             continue
         if tag == "br":
             parts.append(" ")
@@ -115,55 +159,78 @@ def blocks(page: str) -> list[Block]:
             if tag == "hr":
                 flush()
             continue
-        if tag not in _INLINE:
-            flush()
-            last = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in _INLINE), -1)
-            if last >= 0 and (stack[last][0] == "p" or stack[last][0] == tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                del stack[last:]
-        above = stack[-1] if stack else ("", False, 0)
-        holder = above[2]
-        if tag in _HOLDERS and not above[1]:
-            holders += 1
-            holder = holders
-        stack.append((tag, above[1] or _passed(tag, attributes, holder > 0), holder))
+        flush()
+        if stack[-1][0] == "p" or stack[-1][0] in _CLOSES.get(tag, ()):
+            pop()
+            if tag == "tr" and stack[-1][0] == "tr":
+                pop()
+        _, above, path, way, passed = stack[-1]
+        use = _use(tag, attributes)
+        way = min(MAIN, max(way * (use or 1.0), ASIDE * ASIDE))
+        number = paths.setdefault((path, tag, use), len(out.weight))
+        if number == len(out.weight):
+            out.weight.append(way * (1.0 if tag in _TEXT else BARE))
+        out.parent.append(above)
+        out.tag.append(tag)
+        stack.append((tag, len(out.parent) - 1, number, way, passed or not use))
+        opened[tag] += 1
         if tag in _RAW and not attributes.endswith("/"):
-            end = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            end = re.compile(rf"</{tag}(?![\w-])", re.I).search(page, at)
             at = end.start() if end else len(page)
     say(page[at:])
     flush()
     return out
 
 
-def scores(found: list[Block]) -> np.ndarray:
-    """Each block's fused and smoothed tag-path ratio."""
-    sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
-    for b in found:
-        s = sums[b.path]
-        s[0] += 1
-        s[1] += len(b.text)
-        s[2] += len(_PUNCTUATION.findall(b.text))
-        s[3] += b.linked
-    ratio = {p: t / n * (0.3 + m / n) * max(0.0, 1 - link / max(1, t)) for p, (n, t, m, link) in sums.items()}
-    raw = np.array([ratio[b.path] for b in found])
-    padded = np.concatenate((raw[:1], raw, raw[-1:]))
-    return 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
+def scores(page: Page) -> tuple[np.ndarray, np.ndarray]:
+    """Each block's fused score, and its path's weight less its share of link text."""
+    path = np.array(page.path)
+    size = np.array([len(t) for t in page.text], float)
+    marks = np.array([len(_PUNCTUATION.findall(t)) for t in page.text], float)
+    linked = np.minimum(size, np.array(page.linked, float))
+    n, text, punctuation, links = (np.bincount(path, x) for x in (np.ones(len(path)), size, marks, linked))
+    some = np.maximum(n, 1)
+    own = (1 - links / np.maximum(text, 1)) ** 2
+    weight = own * np.array(page.weight)[: len(n)]
+    raw = (text / some * (0.3 + punctuation / some) * weight)[path]
+    parent = np.array(page.parent)[np.array(page.element)]
+    before, after = np.zeros(len(raw)), np.zeros(len(raw))
+    same = parent[1:] == parent[:-1]
+    before[1:], after[:-1] = np.where(same, raw[:-1], raw[1:]), np.where(same, raw[1:], raw[:-1])
+    if len(raw):
+        before[0], after[-1] = raw[0], raw[-1]
+    loose = np.array([page.tag[e] not in _ONE for e in page.element], bool)
+    alone = np.where(loose, (1 - linked / np.maximum(size, 1)) ** 2, 1.0)  # a paragraph may be a link; in boxes of one path each answers for its own
+    fused = alone * np.sqrt(raw * (0.25 * before + 0.5 * raw + 0.25 * after))
+    heading = [page.tag[e] in _HEADING for e in page.element]
+    for i in range(len(raw) - 2, -1, -1):  # a heading is worth what it stands above
+        if heading[i] and same[i]:
+            fused[i] = max(fused[i], fused[i + 1])
+    return fused, alone * weight[path]
 
 
 def extract(page: str | None) -> str:
-    """The main text of a page: its content blocks, joined by an empty line."""
-    found = blocks(page or "")
-    if not found:
+    """The main text of a page: its content blocks in page order, joined by an empty line."""
+    found = read(page or "")
+    if not found.text:
         return ""
-    score = scores(found)
-    size = np.array([len(b.text) for b in found])
-    content = (score >= THRESHOLD * np.average(score, weights=size)) & (2 * np.array([b.linked for b in found]) <= size)
-    share: dict[int, int] = defaultdict(int)
-    for b, c, n in zip(found, content, size, strict=True):
-        share[b.holder] += int(n) * bool(c)
-    best = max(share, key=lambda h: (share[h], -h))
-    if best and 2 * share[best] >= sum(share.values()):
-        content = np.array([b.holder == best for b in found])
-    return "\n\n".join(b.text for b, c in zip(found, content, strict=True) if c)
+    score, weight = scores(found)
+    size = np.array([len(t) for t in found.text], float)
+    total = (size * score).sum()
+    mean = (size * score * score).sum() / total if total > 0 else 0.0  # each character weighs as its score, so much text around a short article does not hide it
+    core = score >= THRESHOLD * mean
+    held = weight >= LEAST_WEIGHT * weight.max()
+    gain = np.bincount(found.element, np.where(core, size, np.where(held, -size, -size / 8)), len(found.parent))  # what is not held is left out anyhow
+    last = list(range(len(found.parent)))  # the last element inside each
+    for e in range(len(found.parent) - 1, 0, -1):
+        p = found.parent[e]
+        gain[p] += gain[e]
+        last[p] = max(last[p], last[e])
+    gain[[t in _ONE for t in found.tag]] = -np.inf
+    best = len(gain) - 1 - int(np.argmax(gain[::-1]))  # of equal ones the innermost
+    inside = (np.array(found.element) >= best) & (np.array(found.element) <= last[best])
+    content = inside & (core | (weight >= LEAST_WEIGHT * np.max(weight[inside], initial=0.0)))
+    return "\n\n".join(t for t, c in zip(found.text, content, strict=True) if c)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -186,11 +186,13 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_main_text(spark):
+    from pyspark.sql import functions as F
+
     assert html_extract.extract(PAGE) == "A & B title\n\nFirst line goes on, here.\n\nSecond <b> one.\n\nNo.\n\nItem one\n\nItem two"
     soup = "<body><div id=m><div><p>Hello, world. A long text, with commas, and so on. More here.</p><p>Also this one, right here.</p></div></div><div><ul><li><a href=x>Home</a></li><li><a href=x>About us</a></li></ul></div>"
     assert html_extract.extract(soup) == "Hello, world. A long text, with commas, and so on. More here.\n\nAlso this one, right here."
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "<p>cut off &am"), (5, "u", "<article><p>" + "word, " * 50000), (6, "u", '<p a="unclosed> text</p>'), (7, "u", "<script>only"), (8, "u", "plain")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumnRenamed("x", "x")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x")).withColumn("n_chars", F.lit(None).cast("int"))
     out = html_extract.extract_pages(pages).collect()
     assert len(out) == len(rows) and all(r.n_chars == len(r.text) for r in out)
     text = {r.page_id: r.text for r in out}
@@ -198,6 +200,133 @@ def test_main_text(spark):
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
 
 
+P = "This is a long paragraph, with commas, and so on. It goes further, and says more; much more than a menu would."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<article><p class="share">{P}</p><div class="post comment-policy"><p>{P}</p></div><p>So.</p></article>', [P, P, "So."]),
+        (f'<div id=main><h1>Title</h1><p>{P}</p></div><div class="comments-area"><p>I liked it, very much, indeed; thanks. Truly good.</p><p>{P}</p><p>{P}</p><p>{P}</p></div>', ["Title", P]),
+        (f"<table><tr><td><a href=1>One</a><br><a href=2>Two</a></td><td>{P}<br><br>{P}</td></tr></table>", [f"{P} {P}"]),
+        (f"<header><h1>Site name</h1><p>A site about things, and more.</p></header><main><header><h1>Title</h1></header><p>{P}</p><ul><li>one<li>two</ul></main><aside><p>{P}</p></aside>", ["Title", P, "one", "two"]),
+        (f"<div><p>{P}</p><p>Short.</p><form><p>Send us your mail, please, now.</p></form></div>", [P, "Short."]),
+        (f'<div class="cookie-notice"><p>We use cookies, and more. {P}</p></div><div><p>{P}</p><h2>Sub</h2><p>{P}</p><p>ok</p></div>', [P, "Sub", P, "ok"]),
+        (f"<div><section><h2>A</h2><p>{P}</p></section><section><h2>B</h2><p>{P}</p></section></div><div><ul><li><a href=q>l1</a><li><a href=q>l2</a></ul></div>", ["A", P, "B", P]),
+        (f"<article><p>{P}</p><p><a href=x>Just a link.</a></p><pre>code\n  x</pre></article><article class=related><p>{P}</p></article>", [P, "Just a link.", "code x"]),
+    ],
+)
+def test_content_is_chosen_by_path_scores(page, text):
+    assert html_extract.extract(f"<html><body>{page}</body></html>") == "\n\n".join(text)
+
+
+def article(page):
+    """The text of a page's article element, by plain substitution."""
+    import html
+
+    parts = re.split("</?(?:p|h1)>", re.search("<article>(.*?)</article>", page, re.S)[1])
+    parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in parts]
+    return "\n\n".join(x for x in parts if x)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_articles_with_and_without_their_names():
+    """Every article as the pages are; and where nothing calls itself navigation, article, advert or footer, all but articles shorter than what is around them."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"{SF.replace('0.001', '0.01')}/pages.parquet").column("html").to_pylist()
+    plain = [re.sub(' class="[^"]*"', "", re.sub(r"<(/?)(nav|article|footer)\b", r"<\1div", p)) for p in pages]
+    assert all(html_extract.extract(p) == article(p) for p in pages)
+    right = sum(html_extract.extract(q) == article(p) for p, q in zip(pages, plain, strict=True))
+    assert right >= 0.98 * len(pages), right
+
+
+def naive_extract(page):
+    """The same rules over a tree of a well-formed page without links, one block and path at a time."""
+    from html.parser import HTMLParser
+
+    blocks, h = [], html_extract
+
+    def weigh(way):
+        weight = 1
+        for t in way:
+            weight = min(h.MAIN, max(h.ASIDE**2, weight * (h.ASIDE if t in h._ASIDE else h.MAIN if t in h._MAIN else 1)))
+        return weight * (1 if way and way[-1] in h._TEXT else h.BARE)
+
+    class Reader(HTMLParser):
+        way, count = [("", 0)], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.count += 1
+            self.way = [*self.way, (tag, self.count)]
+
+        def handle_endtag(self, tag):
+            self.way = self.way[:-1]
+
+        def handle_data(self, data):
+            if data.strip():
+                blocks.append((tuple(self.way), data.strip()))
+
+    Reader().feed(page)
+    path = lambda b: tuple(t for t, _ in b[0][1:])
+    points = lambda t: sum(t.count(c) for c in ",.;:!?")
+
+    def ratio(b):
+        same = [x[1] for x in blocks if path(x) == path(b)]
+        return sum(map(len, same)) / len(same) * (0.3 + sum(map(points, same)) / len(same)) * weigh(path(b))
+
+    score = []
+    for i, b in enumerate(blocks):
+        near = [ratio(x) if x is not None and x[0][:-1] == b[0][:-1] else ratio(b) for x in (blocks[i - 1] if i else None, blocks[i + 1] if i + 1 < len(blocks) else None)]
+        score.append(math.sqrt(ratio(b) * (near[0] / 4 + ratio(b) / 2 + near[1] / 4)))
+    for i in range(len(blocks) - 2, -1, -1):
+        if path(blocks[i])[-1:] == ("h2",) and blocks[i][0][:-1] == blocks[i + 1][0][:-1]:
+            score[i] = max(score[i], score[i + 1])
+    least = h.THRESHOLD * sum(len(b[1]) * x * x for b, x in zip(blocks, score)) / sum(len(b[1]) * x for b, x in zip(blocks, score))
+    core, weight = [x >= least for x in score], [weigh(path(b)) for b in blocks]
+    gain = {}
+    for b, c, w in zip(blocks, core, weight):
+        for e in b[0]:
+            gain[e] = gain.get(e, 0) + len(b[1]) * (1 if c else -1 if w >= h.LEAST_WEIGHT * max(weight) else -1 / 8)
+    best = max((e for e in gain if e[0] not in h._ONE), key=lambda e: (gain[e], e[1]))
+    inside = [best in b[0] for b in blocks]
+    floor = h.LEAST_WEIGHT * max(w for w, i in zip(weight, inside) if i)
+    return "\n\n".join(b[1] for b, c, w, i in zip(blocks, core, weight, inside) if i and (c or w >= floor))
+
+
+def test_extraction_equals_a_plain_reading_of_the_rules():
+    rng = np.random.default_rng(11)
+    words = ["one", "two,", "three.", "four", "five; six", "seven eight nine"]
+
+    def tree(depth):
+        out = ""
+        for _ in range(int(rng.integers(1, 5))):
+            tag = str(rng.choice(["div", "section", "article", "nav", "footer"] if depth and rng.random() < 0.5 else ["p", "h2", "li", "div"]))
+            inner = tree(depth - 1) if tag in ("div", "section", "article", "nav", "footer") and depth else " ".join(rng.choice(words, int(rng.integers(1, 40))))
+            out += f"<{tag}>{inner}</{tag}>"
+        return out
+
+    pages = [f"<body>{tree(3)}</body>" for _ in range(150)]
+    assert len({html_extract.extract(p) for p in pages}) > 140
+    for page in pages:
+        assert html_extract.extract(page) == naive_extract(page)
+
+
+def test_reading_time_follows_the_page():
+    import time
+
+    def spent(page):
+        began = time.perf_counter()
+        html_extract.extract(page)
+        return time.perf_counter() - began
+
+    assert spent("<div>" * 100_000 + "text, here." + "</div>" * 50_000 + "</b>" * 100_000) < 10
+    assert spent('<a "' * 200_000) < 5
+    assert spent("<!--" * 100_000 + "<a href='" * 100_000) < 5
+    short, long = (spent("<p>" * n + "<td><tr><b>" * n + "</p></i>" * n) for n in (10_000, 80_000))
+    assert long < 25 * max(short, 0.05)
+
+
 # mixing
 
 
