@@ -34,26 +34,24 @@ def _star(scratch: Scratch, links: DataFrame, large: bool) -> DataFrame:
     return out
 
 
-def components(scratch: Scratch, links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """(a, b): for every linked node but the smallest of its component, that smallest node.
 
     ``links`` has columns a > b of an ordered type and lies in ``scratch``; it
-    is dropped.
+    is dropped.  Rounds go on until one changes nothing.
     """
 
     def state(df: DataFrame):
-        row = df.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        row = df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         return row[0], row[1]
 
     now = state(links)
-    for _ in range(rounds):
-        if not now[0]:
-            return links
+    while now[0]:
         wide = _star(scratch, links, True)
         narrow = _star(scratch, wide, False)
         scratch.drop(links, wide)
         links, before = narrow, now
         now = state(links)
         if now == before:
-            return links
-    raise RuntimeError(f"links did not settle in {rounds} rounds")
+            break
+    return links

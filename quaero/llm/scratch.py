@@ -1,8 +1,9 @@
 """Shared scratch tables: lineage is cut by writing Parquet to the folder in ``spark.checkpoint.dir``.
 
 Every executor can read such a table again, so the loss of an executor costs
-the running stage only.  Where the session names no folder (tests, local mode)
-a private one is made and set once.
+the running stage only.  Where the session names no folder, a local master gets
+a private one, made and set once; any other is an error.  Tables that a result
+may still read are deleted when the application ends.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is configured."""
+    """The cluster's shared folder; a private local one only on a local master where none is configured."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":  # executors elsewhere would each write to their own disk
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quaero-scratch-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
@@ -45,6 +49,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(root)
+        files.deleteOnExit(root)
         self.count = 0
         self.paths: dict[int, str] = {}
 

@@ -16,8 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaero.llm.scratch import Scratch
-from quaero.llm.skew import lookup
+from quaero.llm.scratch import Scratch, shuffle_cleanup
+from quaero.llm.skew import free_name, lookup
 
 
 @dataclass(frozen=True)
@@ -84,47 +84,56 @@ def _listed(found: Column, rules) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _blob(text_col: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+
+
+def _found(docs: DataFrame, scratch: Scratch, ledger: str | None, rules, text_col: str) -> tuple[DataFrame, int]:
+    """((blob, n, found) of every blob of ``docs``, rows of ``docs``): n rows have it, found is null where nothing was found.
+
+    Blobs that the ledger doesn't have under these rules are scanned, one copy
+    each, and appended to it with what was found.
+    """
+    spark, version = docs.sparkSession, rules_version(rules)
+    ledger = ledger or f"{scratch.root}/ledger"
+    uses = scratch.table(docs.select(_blob(text_col).alias("blob")).groupBy("blob").agg(F.count("*").alias("n")))
+    known = _read_ledger(spark, ledger)
+    texts = docs.select(_blob(text_col).alias("blob"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    unseen = uses.select("blob")
+    if known is not None:
+        unseen = scratch.table(unseen.join(known.where(F.col("version") == version).select("blob"), "blob", "left_anti"))
+        texts = texts.join(unseen, "blob", "left_semi")
+    found = find_spans(texts.groupBy("blob").agg(F.first("text").alias("text")), rules)
+    empty = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")
+    with shuffle_cleanup(spark):
+        unseen.join(found, "blob", "left").select("blob", F.lit(version).alias("version"), F.coalesce("found", empty).alias("found")).write.mode("append").parquet(ledger)
+    telling = _read_ledger(spark, ledger).where((F.col("version") == version) & (F.size("found") > 0)).dropDuplicates(["blob"]).select("blob", "found")
+    return scratch.table(uses.join(telling, "blob", "left")), uses.agg(F.sum("n")).first()[0] or 0
+
+
 def scan(docs: DataFrame, ledger: str | None = None, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, blob, found) for each row of ``docs``; found is empty where nothing was found.
+    """(doc_id, blob, found) for each row of ``docs``; found is null where nothing was found.
 
     ``ledger`` is the folder of a ledger kept between runs; a blob that it has
-    under these rules is not scanned again.  Without one, each blob of ``docs``
-    is scanned once.  A null text counts as empty; a null doc_id is kept;
-    repeated rows each give a row; no other columns are read.
+    under these rules is not scanned again.  Without one, a new ledger is kept
+    in the scratch folder for this run.  A null text counts as empty; a null
+    doc_id is kept; repeated rows each give a row; no other columns are read.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "secrets")
-    version = rules_version(rules)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    versions = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("blob"), text.alias("text"))
-    blobs = versions.groupBy("blob").agg(F.first("text").alias("text"), F.count("*").alias("n"))
-    unseen = blobs
-    if ledger is not None:
-        known = _read_ledger(spark, ledger)
-        unseen = blobs.join(known.where(F.col("version") == version).select("blob"), "blob", "left_anti")
-    if ledger is None:
-        # each scanned blob's text is read once; its findings and number of paths are kept
-        findings = scratch.table(find_spans(unseen.select("blob", "text"), rules))
-    else:
-        fresh = unseen.select("blob").join(find_spans(unseen.select("blob", "text"), rules), "blob", "left")
-        empty = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")
-        fresh.select("blob", F.lit(version).alias("version"), F.coalesce("found", empty).alias("found")).write.mode("append").parquet(ledger)
-        findings = _read_ledger(spark, ledger).where((F.col("version") == version) & (F.size("found") > 0)).dropDuplicates(["blob"]).select("blob", "found")
-    paths = versions.select("doc_id", "blob")
-    uses = scratch.table(paths.groupBy("blob").agg(F.count("*").alias("n")))
-    total = uses.agg(F.sum("n")).first()[0] or 0
+    scratch = Scratch(docs.sparkSession, "secrets")
+    found, total = _found(docs, scratch, ledger, rules, text_col)
+    paths = docs.select(F.col(id_col).cast("long").alias("doc_id"), _blob(text_col).alias("blob"))
     # every blob is in the lookup, so that one that many paths have is hot whether or not anything was found in it
-    return lookup(paths, uses.join(findings, "blob", "left"), "blob", "n", total).select("doc_id", "blob", "found")
+    return lookup(paths, found, "blob", "n", total).select("doc_id", "blob", "found")
 
 
 _LEDGER = "blob string, version string, found array<struct<start:bigint,kind:int,end:bigint>>"
 
 
-def _read_ledger(spark, ledger: str) -> DataFrame:
-    """The ledger's rows; a ledger that doesn't exist yet has none."""
+def _read_ledger(spark, ledger: str) -> DataFrame | None:
+    """The ledger's rows, None for a ledger that doesn't exist yet."""
     path = spark._jvm.org.apache.hadoop.fs.Path(ledger)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], _LEDGER)
+        return None
     return spark.read.schema(_LEDGER).parquet(ledger)
 
 
@@ -136,10 +145,21 @@ def report(found: DataFrame, rules=RULES) -> DataFrame:
     return found.select("doc_id", *[count(k).alias(f"n_{r.kind}") for k, r in enumerate(BASE)], F.sha2(_listed(base, rules), 256).alias("base_sha256"), _listed(spans, rules).alias("spans"))
 
 
-def drop_secret(docs: DataFrame) -> DataFrame:
-    """The documents in which no secret is found (rows without doc_id stay)."""
-    leaking = scan(docs).where(F.size("found") > 0).select("doc_id")
-    return docs.join(leaking, "doc_id", "left_anti")
+#: What takes a document out of the pipeline: as the rules above, but a run of digits alone (a card, an order number) is no credential.
+DECIDING = tuple(Rule("hex", r"(?<![0-9a-f])(?=[0-9]*[a-f])[0-9a-f]{16,}") if r.kind == "hex" else r for r in RULES)
+
+
+def drop_secret(docs: DataFrame, ledger: str | None = None, rules=DECIDING) -> DataFrame:
+    """The rows of ``docs`` in whose text no secret is found by ``rules``, with all their columns.
+
+    Verdicts are joined back by the text's blob, so each row is judged by its
+    own text, with or without doc_id; null and empty texts stay.
+    """
+    scratch = Scratch(docs.sparkSession, "secrets")
+    found, total = _found(docs, scratch, ledger, rules, "text")
+    blob, n, leaks = (free_name(c, docs) for c in ("_blob", "_n", "_leaks"))
+    verdict = found.select(F.col("blob").alias(blob), F.col("n").alias(n), F.col("found").isNotNull().alias(leaks))
+    return lookup(docs.withColumn(blob, _blob("text")), verdict, blob, n, total).where(~F.col(leaks)).select(*docs.columns)
 
 
 def sql(rules=RULES) -> str:

@@ -7,26 +7,29 @@ group that shares a value is linked as a star (its members are all within four
 bits of each other, so a star loses no connection and costs no pairs).
 
 Shuffling 2,081 rows a fingerprint would cost some 30 KB each.  The values are
-dealt out by a linear hash instead (XOR of a code per set bit), so the slices
-that a ball reaches follow from the fingerprint: it is sent once to each slice
-with some of its values, eight bytes a time, and the slice's task makes just
-the values that fall there.  The number of slices grows with the fingerprints,
-so a task's values stay bounded.
+dealt out by a linear hash instead: each bit of a slice's number is the parity
+of a share of the fingerprint's bits, so a changed bit changes one bit of the
+slice, and a ball of radius two reaches 1 + s + s(s - 1)/2 of 2^s slices.  A
+fingerprint is sent once to each of those, eight bytes a time, and the slice's
+task makes just the values that fall there.  The number of slices grows with
+the fingerprints, so a task's values stay bounded.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import accumulate, combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaero.llm.components import components
 from quaero.llm.scratch import Scratch
-from quaero.llm.skew import lookup
+from quaero.llm.skew import free_name, lookup
 from quaero.llm.wordbytes import LOWER, SPACE, Words, grams, mix, text_groups
 
 BITS = 64
@@ -72,9 +75,8 @@ def masks(radius: int) -> np.ndarray:
 
 
 def slice_codes(bits: int) -> np.ndarray:
-    """A code for each fingerprint bit; the XOR of a value's codes is its slice."""
-    rng = np.random.Generator(np.random.PCG64(11))
-    return rng.integers(1, max(2, 1 << bits), BITS, dtype=np.int64) if bits else np.zeros(BITS, np.int64)
+    """A code for each fingerprint bit, one bit of the slice's number; the XOR of a value's codes is its slice."""
+    return 1 << (np.arange(BITS, dtype=np.int64) % bits) if bits else np.zeros(BITS, np.int64)
 
 
 def slice_of(values: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -197,9 +199,35 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, id_col: st
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Sketches of whole texts for groups by similarity: lanes of 64 bits, dealt into short fingerprints of TABLE_BITS each.
-LANES, TABLE_BITS = 6, 26
-TABLES = LANES * BITS // TABLE_BITS
+#: Chance that a pair just as similar as asked meets, at least; bits of a short fingerprint, at least.
+MEETING, LEAST_BITS = 0.98, 26
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Sketches of whole texts: lanes of 64 bits, dealt into ``tables`` short fingerprints of ``bits`` bits."""
+
+    bits: int
+    lanes: int
+    tables: int
+    allowed: int
+
+    @classmethod
+    def of(cls, count: int, similarity: float) -> Shape:
+        """For ``count`` texts.
+
+        A short fingerprint has so many bits that the values of all balls of
+        radius one are fewer than its values: unrelated texts that share one
+        stay few however many texts there are.  Pairs meet where two bits or
+        fewer differ; there are tables enough for :data:`MEETING`.  ``allowed``
+        differing bits of a whole sketch are two and a half deviations over
+        the number expected.
+        """
+        apart = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+        bits = max(LEAST_BITS, int(np.ceil(np.log2((LEAST_BITS + 1) * max(1, count)))))
+        meets = sum(comb(bits, k) * apart**k * (1 - apart) ** (bits - k) for k in range(3))
+        lanes = int(np.ceil(np.ceil(np.log(1 - MEETING) / np.log1p(-meets)) * bits / BITS))
+        return cls(bits, lanes, lanes * BITS // bits, int(lanes * BITS * apart + 2.5 * np.sqrt(lanes * BITS * apart * (1 - apart))))
 
 
 def shingle_sets(column: pa.Array, width: int):
@@ -212,10 +240,10 @@ def shingle_sets(column: pa.Array, width: int):
             yield np.unique(every[start : start + n - width + 1]) if n >= width else grams(hashes[start : start + n], n) if n else hashes[:0]
 
 
-def sketch(own: np.ndarray) -> np.ndarray:
-    """LANES SimHashes of a text's distinct shingles, as unsigned longs; zeros for none."""
-    out = np.zeros(LANES, np.uint64)
-    for lane in range(LANES if len(own) else 0):
+def sketch(own: np.ndarray, lanes: int) -> np.ndarray:
+    """``lanes`` SimHashes of a text's distinct shingles, as unsigned longs; zeros for none."""
+    out = np.zeros(lanes, np.uint64)
+    for lane in range(lanes if len(own) else 0):
         ones = np.zeros(BITS, np.int64)
         hashed = mix(own + np.uint64((lane + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
         for at in range(0, len(own), 1 << 16):
@@ -224,20 +252,13 @@ def sketch(own: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunk(sketches: np.ndarray, table: int) -> np.ndarray:
-    """The short fingerprint of a table: TABLE_BITS bits of each sketch."""
-    bit = table * TABLE_BITS + np.arange(TABLE_BITS)
-    out = np.zeros(len(sketches), np.uint64)
-    for i, b in enumerate(bit.tolist()):
-        out |= ((sketches[:, b // BITS] >> np.uint64(b % BITS)) & _ONE) << np.uint64(i)
-    return out
-
-
-def allowed_bits(similarity: float) -> int:
-    """Differing sketch bits of pairs of that Jaccard similarity: the expected number and two and a half deviations."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    n = LANES * BITS
-    return int(n * share + 2.5 * np.sqrt(n * share * (1 - share)))
+def chunk(sketches: np.ndarray, table: int, bits: int) -> np.ndarray:
+    """The short fingerprint of a table: ``bits`` bits of each sketch, from table * bits on."""
+    word, at = divmod(table * bits, BITS)
+    out = sketches[:, word] >> np.uint64(at)
+    if at + bits > BITS:
+        out = out | (sketches[:, word + 1] << np.uint64(BITS - at))
+    return out & np.uint64((1 << bits) - 1)
 
 
 def meet_near(ids: np.ndarray, sketches: np.ndarray, values: np.ndarray, owner: np.ndarray, allowed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -304,11 +325,13 @@ def closest_forest(a: np.ndarray, b: np.ndarray, far: np.ndarray, ids: np.ndarra
     return np.array(keep, np.int64)
 
 
-def meet_apart(ids: np.ndarray, sketches: np.ndarray, roots: np.ndarray, values: np.ndarray, owner: np.ndarray, allowed: int, step: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (larger id, smaller id) of owners with different roots that share a value and whose sketches differ in at most ``allowed`` bits.
+def meet_apart(ids: np.ndarray, sketches: np.ndarray, roots: np.ndarray, values: np.ndarray, owner: np.ndarray, shape: Shape, table: int, step: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (larger id, smaller id) of owners with different roots that share a value and whose sketches are near.
 
-    Members of a group that have one root are not compared with each other.
-    ``step`` bounds the pairs that are held at once.
+    Members of a group that have one root are not compared with each other.  A
+    pair is given in the first table in which it meets, at one value that both
+    balls have, so all tasks together give each pair once.  ``step`` bounds the
+    pairs that are held at once.
     """
     order = np.lexsort((ids[owner], roots[owner], values))
     values, owner = values[order], owner[order]
@@ -327,26 +350,37 @@ def meet_apart(ids: np.ndarray, sketches: np.ndarray, roots: np.ndarray, values:
         own, times = some[at:end], n[some[at:end]]
         a = owner[np.repeat(own, times)]
         b = owner[np.repeat(start[own], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-        near = np.bitwise_count(sketches[a] ^ sketches[b]).sum(1) <= allowed
-        a, b = ids[a[near]], ids[b[near]]
+        near = np.bitwise_count(sketches[a] ^ sketches[b]).sum(1) <= shape.allowed
+        a, b, value = a[near], b[near], np.repeat(values[own], times)[near]
+        given = meets_first(sketches[a], sketches[b], value, shape, table)
+        a, b = ids[a[given]], ids[b[given]]
         out.append(np.stack((np.maximum(a, b), np.minimum(a, b)), 1))
         at = end
-    pairs = np.unique(np.concatenate(out), axis=0)
+    pairs = np.concatenate(out)
     return pairs[:, 0], pairs[:, 1]
 
 
-def similar_links(scratch: Scratch, nodes: DataFrame, count: int, allowed: int, slice_values: int = 2_000_000) -> DataFrame:
+def meets_first(x: np.ndarray, y: np.ndarray, value: np.ndarray, shape: Shape, table: int) -> np.ndarray:
+    """Whether pairs of sketches that share ``value`` in ``table`` meet in no table before it, and at no value that comes before this one."""
+    a, b = chunk(x, table, shape.bits), chunk(y, table, shape.bits)
+    differ = a ^ b
+    out = value == (np.minimum(a, b) ^ (differ & (~differ + _ONE)))  # of the values that both have, the one with their lowest differing bit changed
+    for before in range(table):
+        out &= np.bitwise_count(chunk(x, before, shape.bits) ^ chunk(y, before, shape.bits)) > 2
+    return out
+
+
+def similar_links(scratch: Scratch, nodes: DataFrame, count: int, shape: Shape, slice_values: int = 2_000_000) -> DataFrame:
     """Candidate links (a > b) among ``nodes`` (id, sketch): ball hashing with half radius one in each table of short fingerprints.
 
     Each task gives a forest of its links; where ``nodes`` have a column root,
     all its pairs of different roots.
     """
-    every = masks(1)[: TABLE_BITS + 1]
-    bits = max(0, int(np.ceil(np.log2(max(1, count * len(every) / slice_values)))))
-    codes = slice_codes(bits)
+    every = masks(1)[: shape.bits + 1]
+    codes = slice_codes(min(shape.bits, max(0, int(np.ceil(np.log2(max(1, count * len(every) / slice_values)))))))
     reach = np.unique(slice_of(every, codes))
     rooted = "root" in nodes.columns
-    record = np.dtype([("id", "<i8"), *([("root", "<i8")] if rooted else []), ("s", "<u8", (LANES,))])
+    record = np.dtype([("id", "<i8"), *([("root", "<i8")] if rooted else []), ("s", "<u8", (shape.lanes,))])
 
     def deal(batches):
         for batch in batches:
@@ -354,11 +388,11 @@ def similar_links(scratch: Scratch, nodes: DataFrame, count: int, allowed: int,
                 rows = batch.slice(at, 20_000)
                 own = np.zeros(rows.num_rows, record)
                 own["id"] = rows.column(0).to_numpy(zero_copy_only=False)
-                own["s"] = np.frombuffer(b"".join(rows.column(1).to_pylist()), "<u8").reshape(-1, LANES)
+                own["s"] = np.frombuffer(b"".join(rows.column(1).to_pylist()), "<u8").reshape(-1, shape.lanes)
                 if rooted:
                     own["root"] = rows.column(2).to_numpy(zero_copy_only=False)
-                for table in range(TABLES):
-                    home = slice_of(chunk(own["s"], table), codes)
+                for table in range(shape.tables):
+                    home = slice_of(chunk(own["s"], table, shape.bits), codes)
                     for r in np.unique(home):
                         mine = own[home == r].tobytes()
                         to = (r ^ reach).tolist()
@@ -368,7 +402,7 @@ def similar_links(scratch: Scratch, nodes: DataFrame, count: int, allowed: int,
         own = np.concatenate([np.frombuffer(x.as_py(), record) for x in table.column("rows")])
         ids, sketches = own["id"].copy(), own["s"].copy()
         number, part = key[0].as_py(), key[1].as_py()
-        short = chunk(sketches, number)
+        short = chunk(sketches, number, shape.bits)
         home, mask_slice = slice_of(short, codes), slice_of(every, codes)
         values, owner = [], []
         for m, at in zip(every, mask_slice, strict=True):
@@ -376,58 +410,90 @@ def similar_links(scratch: Scratch, nodes: DataFrame, count: int, allowed: int,
             values.append(short[mine] ^ m)
             owner.append(mine)
         values, owner = np.concatenate(values), np.concatenate(owner)
-        a, b = meet_apart(ids, sketches, own["root"].copy(), values, owner, allowed) if rooted else meet_near(ids, sketches, values, owner, allowed)
+        a, b = meet_apart(ids, sketches, own["root"].copy(), values, owner, shape, number) if rooted else meet_near(ids, sketches, values, owner, shape.allowed)
         return pa.table({"a": a, "b": b})
 
     dealt = nodes.select("id", "sketch", *["root"] * rooted).mapInArrow(deal, "table long, part long, rows binary")
-    return scratch.table(dealt.groupBy("table", "part").applyInArrow(join, "a long, b long").distinct())
+    met = dealt.groupBy("table", "part").applyInArrow(join, "a long, b long")
+    return scratch.table(met if rooted else met.distinct())
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A row's key, ordered by doc_id, rows without one last; rows of one key are copies of one document."""
+    text, number = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
+    return F.struct(number.isNull().alias("unnamed"), F.coalesce(number, F.lit(0)).alias("doc_id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
+
+
+def _grouped(docs: DataFrame, scratch: Scratch, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(key, best) for each row of ``docs``: its key, and the least key of its group of similar texts."""
+    count = docs.count()
+    shape = Shape.of(count, similarity)
+    texts = docs.select(_keyed(docs, id_col, text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    key_type = texts.schema["key"].dataType.simpleString()
+
+    def sketched(batches):
+        for batch in batches:
+            made = [sketch(x, shape.lanes).tobytes() for x in shingle_sets(batch.column(1), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["key", "sketch"])
+
+    prints = scratch.table(texts.mapInArrow(sketched, f"key {key_type}, sketch binary"))
+    nodes = scratch.table(prints.groupBy("sketch").agg(F.min("key").alias("key"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    distinct = nodes.count()
+    maybe = similar_links(scratch, nodes, distinct, shape)
+    sets = _shingled(scratch, texts, nodes, maybe, count, width)
+    near = components(scratch, _verified(scratch, sets, maybe, similarity))
+    rooted = nodes.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", "sketch", F.coalesce("b", "id").alias("root"))
+    rest = _verified(scratch, sets, similar_links(scratch, rooted, distinct, shape), similarity)
+    scratch.drop(sets)
+    stars = components(scratch, scratch.table(near.union(rest)))
+    placed = scratch.table(nodes.join(stars.withColumnRenamed("a", "id"), "id", "left").select("sketch", "key", "n", F.coalesce("b", "id").alias("root")))
+    best = scratch.table(placed.groupBy("root").agg(F.min("key").alias("best"), F.count("*").alias("members")))
+    named = scratch.table(lookup(placed.select("root", "sketch", "n"), best, "root", "members", distinct).select("sketch", "n", "best"))
+    return scratch.table(lookup(prints, named, "sketch", "n", count).select("key", "best"))
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of the documents that are not the smallest of their group of similar texts.
+    """(doc_id, component_id) of the rows that are not the first of their group of similar texts.
 
     Texts whose distinct word shingles have that Jaccard similarity or more are
     linked.  One fingerprint of 64 bits and a radius of four finds copies that
-    are all but equal; at 0.8 some ten of 64 bits differ.  So a sketch of
-    LANES x 64 bits is dealt into TABLES short fingerprints, balls of radius
-    one (radius two for pairs) meet in each, colliding pairs are compared by
-    their sketches, and those that remain by their shingles.  A pair at 0.8
-    exactly meets in some table with a chance of 0.97, closer ones with more.
+    are all but equal; at 0.8 some ten of 64 bits differ.  So a longer sketch
+    is dealt into short fingerprints (see :class:`Shape`), balls of radius one
+    (radius two for pairs) meet in each, colliding pairs are compared by their
+    sketches, and those that remain by their shingles.
+
     This is done twice: first for a forest of each task's pairs, which joins
     most copies at little cost, then for every pair that meets and is not yet
     in one group by links that passed.  So no pair goes untested for another's
-    sake.  Rows without doc_id take no part.
+    sake.  The first of a group is the row of the smallest doc_id, ties by text;
+    rows without doc_id come last, and component_id is null where all are.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "similar")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    rows = _grouped(docs, Scratch(docs.sparkSession, "similar"), width, similarity, id_col, text_col)
+    id_of = lambda c: F.when(~F.col(f"{c}.unnamed"), F.col(f"{c}.doc_id"))
+    return rows.where("key <> best").select(id_of("key").alias("doc_id"), id_of("best").alias("component_id"))
 
-    def sketched(batches):
-        for batch in batches:
-            made = [sketch(x).tobytes() for x in shingle_sets(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "sketch"])
-
-    prints = scratch.table(texts.mapInArrow(sketched, "doc_id long, sketch binary"))
-    nodes = scratch.table(prints.groupBy("sketch").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
-    count, total = nodes.agg(F.count("*"), F.sum("n")).first()
-    allowed = allowed_bits(similarity)
-    maybe = similar_links(scratch, nodes, count, allowed)
-    near = components(scratch, _verified(scratch, texts, maybe, width, similarity))
-    rooted = nodes.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", "sketch", F.coalesce("b", "id").alias("root"))
-    rest = _verified(scratch, texts, similar_links(scratch, rooted, count, allowed), width, similarity)
-    stars = components(scratch, scratch.table(near.union(rest)))
-    placed = scratch.table(nodes.join(stars.withColumnRenamed("a", "id"), "id", "left").select("sketch", "n", F.coalesce("b", "id").alias("component_id")))
-    return lookup(prints, placed, "sketch", "n", total or 0).where("doc_id <> component_id").select("doc_id", "component_id")
 
+def _shingled(scratch: Scratch, texts: DataFrame, nodes: DataFrame, links: DataFrame, total: int, width: int) -> DataFrame:
+    """(id, shingles) of the nodes in ``links``.
 
-def _verified(scratch: Scratch, texts: DataFrame, links: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The links (a > b) whose texts' shingles are as similar as asked."""
+    A pair that meets in a second round was near in a task of the first, so the
+    forest that this task gave has both its ends: the sets serve both rounds.
+    """
 
     def shingled(batches):
         for batch in batches:
             made = [x.view(np.int64) for x in shingle_sets(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["id", "shingles"])
 
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    named = scratch.table(nodes.join(ends, "id").select("key", "id", "n"))
+    wanted = lookup(texts, named, "key", "n", total).select("id", "text").mapInArrow(shingled, "id long, shingles array<long>")
+    return scratch.table(wanted.groupBy("id").agg(F.first("shingles").alias("shingles")))
+
+
+def _verified(scratch: Scratch, sets: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """The links (a > b) whose texts' shingles are as similar as asked; ``links`` are dropped."""
+
     def compare(batches):
         for batch in batches:
             keep = []
@@ -437,15 +503,34 @@ def _verified(scratch: Scratch, texts: DataFrame, links: DataFrame, width: int,
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("uses"))
-    needed = texts.join(ends.select("doc_id"), "doc_id").select("doc_id", "text").mapInArrow(shingled, "id long, shingles array<long>")
-    sets = scratch.table(needed.groupBy("id").agg(F.first("shingles").alias("shingles")).join(ends.withColumnRenamed("doc_id", "id"), "id"))
-    total = ends.agg(F.sum("uses")).first()[0] or 0
-    one = lookup(links, sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"), "uses"), "a", "uses", total).select("a", "b", "x")
-    two = lookup(one, sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"), "uses"), "b", "uses", total).select("a", "b", "x", "y")
-    return scratch.table(two.mapInArrow(compare, "a long, b long"))
+    uses = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("uses"))
+    used = scratch.table(sets.join(uses, "id"))
+    total = 2 * links.count()
+    one = lookup(links, used.select(F.col("id").alias("a"), F.col("shingles").alias("x"), "uses"), "a", "uses", total).select("a", "b", "x")
+    two = lookup(one, used.select(F.col("id").alias("b"), F.col("shingles").alias("y"), "uses"), "b", "uses", total).select("a", "b", "x", "y")
+    out = scratch.table(two.mapInArrow(compare, "a long, b long"))
+    scratch.drop(used, links)
+    return out
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents whose doc_id is the smallest of their group of similar texts (rows without doc_id stay)."""
-    return docs.join(similar_groups(docs, width, similarity).select("doc_id"), "doc_id", "left_anti")
+    """One row of each group of similar texts, with all its columns.
+
+    It is that of the smallest doc_id (see :func:`similar_groups`).  Rows of
+    one doc_id with different texts are different documents; of rows of one
+    doc_id and text one stays.  Null texts, empty ones and those of white space
+    are copies of each other; a row without doc_id is kept only if its group
+    has no other.  An empty table gives no rows.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+    rows = _grouped(docs, scratch, width, similarity, "doc_id", "text")
+    keys = rows.groupBy("key").agg(F.first("best").alias("best"), F.count("*").alias("m"))
+    key, m, again = (free_name(c, docs) for c in ("_key", "_m", "_again"))
+    listed = scratch.table(keys.where("key <> best or m > 1").select(F.col("key").alias(key), F.col("m").alias(m), (F.col("key") == F.col("best")).alias(again)))
+    total, repeated = listed.agg(F.sum(m), F.count(F.when(F.col(again), 1))).first()
+    marked = lookup(docs.withColumn(key, _keyed(docs, "doc_id", "text")), listed, key, m, max(total or 0, docs.count()), "left")
+    out = marked.where(F.col(again).isNull()).select(*docs.columns)
+    if repeated:  # a row of each key; the others are dropped before the shuffle too
+        whole = F.first(F.struct(*[F.col(c) for c in docs.columns])).alias("row")
+        out = out.union(marked.where(F.col(again)).groupBy(key).agg(whole).select("row.*"))
+    return out

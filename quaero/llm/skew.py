@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 HOT = 2000
 
 
+def free_name(name: str, *tables: DataFrame) -> str:
+    """``name``, made longer until none of ``tables`` has a column of that name in any case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
     """Join ``left`` to ``right`` (unique in ``key``) on ``key``.
 
@@ -18,12 +26,13 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int,
     a shuffle in which no key holds more than that share.  Null keys match
     nothing; ``how`` is "inner" or "left".
     """
+    mark = free_name("_hot", left, right)
     hot = right.where(F.col(weight) * F.lit(HOT) > F.lit(int(total)))
     values = [c for c in right.columns if c != key]
-    marked = left.join(F.broadcast(hot.select(key, F.struct(*values).alias("_hot"))), key, "left")
+    marked = left.join(F.broadcast(hot.select(key, F.struct(*values).alias(mark))), key, "left")
     out = [c for c in left.columns if c != key]
-    found = marked.where(F.col("_hot").isNotNull()).select(key, *out, *[F.col("_hot")[v].alias(v) for v in values])
-    rest = marked.where(F.col("_hot").isNull()).drop("_hot")
+    found = marked.where(F.col(mark).isNotNull()).select(key, *out, *[F.col(mark)[v].alias(v) for v in values])
+    rest = marked.where(F.col(mark).isNull()).drop(mark)
     cold = right.where(F.col(weight) * F.lit(HOT) <= F.lit(int(total)))
     if how == "left":  # null keys would meet in one task
         none = rest.where(F.col(key).isNull())

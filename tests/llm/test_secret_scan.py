@@ -50,9 +50,22 @@ def test_ledger_scans_only_what_is_new(spark, make, tmp_path):
     assert spark.read.parquet(ledger).count() == blobs.count() + 6 if blobs.count() else True
 
 
+def test_stage_drops_leaking_texts_only(make, awkward):
+    rows = [*TEXTS, (1, "nothing here"), (None, "clean"), (30, "card 4111111111111111 4111111111111111"), (31, "id 00000000000000a0 z"), (32, "9" * 15 + "f"), (33, "9" * 50000)]
+    docs = make(rows)
+    out = s.drop_secret(docs)
+    assert out.dtypes == docs.dtypes
+    bad = lambda t: base(t)[0] or base(t)[1] or any(re.search("[a-f]", m) for m in re.findall("[0-9a-f]{16,}", t or "")) or "-----BEGIN" in (t or "")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    kept = [r for r in rows if not bad(r[1])]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=key) == sorted(kept, key=key)
+    assert {30, 33, 1, None} <= {i for i, _ in kept} and not {31, 32} & {i for i, _ in kept}
+    assert s.drop_secret(awkward).count() == 11 and s.drop_secret(make([])).count() == 0
+
+
 def test_native_plan(make):
-    plan = s.report(s.scan(make(TEXTS)))._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|MapInArrow", plan)
+    for out in (s.report(s.scan(make(TEXTS))), s.drop_secret(make(TEXTS))):
+        assert not re.search("Python|Pandas|MapInArrow", out._jdf.queryExecution().toString())
 
 
 @pytest.mark.parametrize("rule", s.RULES)

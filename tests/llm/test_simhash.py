@@ -1,7 +1,10 @@
+import math
+
 import numpy as np
 import pytest
 import xxhash
 
+from awkward_rows import AWKWARD
 from quaero.llm import components, simhash
 from quaero.llm.scratch import Scratch
 
@@ -75,11 +78,20 @@ def test_long_chain_settles(spark):
 
 
 def test_one_of_each_group_stays(make):
-    docs = make([(1, "w " * 50), (2, "w " * 50), (3, "other words here now"), (None, "w " * 50), (4, None), (5, " "), (6, "a b")])
-    assert sorted((r.doc_id or 0) for r in simhash.keep_one(docs).collect()) == [0, 1, 3, 4, 6]
+    same, long = "w " * 50, " ".join(f"v{i}" for i in range(90))
+    rows = [(1, same), (2, same), (2, same), (3, "other words here now"), (None, same), (4, None), (5, " "), (None, None), (6, "a b"), (7, long), (7, long), (7, "c d e f g"), (None, "only here"), (None, "only here"), (8, long + " end")]
+    docs = make(rows)
+    out = simhash.keep_one(docs)
+    assert out.dtypes == docs.dtypes
+    kept = sorted((r.doc_id or 0, r.text or "") for r in out.collect())
+    assert kept == sorted([(1, same), (3, "other words here now"), (4, ""), (6, "a b"), (7, long), (7, "c d e f g"), (0, "only here")])
     assert simhash.keep_one(make([])).count() == 0
 
 
+def test_one_of_each_awkward_text_stays(awkward):
+    assert {r.text or "" for r in simhash.keep_one(awkward).collect()} == {"", "one", "one two three", *(t for i, t in AWKWARD if i in (5, 6, 7))}
+
+
 def test_similar_texts_are_found_and_others_left(make):
     rng = np.random.default_rng(8)
     rows, group, sets = [], [], []
@@ -110,24 +122,67 @@ def test_similar_texts_are_found_and_others_left(make):
 
 def test_comparing_a_group_of_copies_is_not_quadratic():
     ids = np.arange(5000)
-    sketches = np.zeros((5000, simhash.LANES), np.uint64)
+    sketches = np.zeros((5000, 6), np.uint64)
     a, b = simhash.meet_near(ids, sketches, np.zeros(5000, np.uint64), np.arange(5000), 75)
     assert a.tolist() == list(range(1, 5000)) and not b.any()
 
 
-def test_all_pairs_of_different_roots_are_given():
+def test_each_pair_of_different_roots_that_meets_is_given_once():
     rng = np.random.default_rng(4)
-    base = rng.integers(0, 2**63, simhash.LANES, dtype=np.uint64)
-    sketches = np.array([base ^ (np.uint64(1) << rng.integers(0, 63, simhash.LANES, dtype=np.uint64)) for _ in range(60)])
-    ids, roots, values, owner = rng.permutation(60) + 100, rng.integers(0, 7, 60), rng.integers(0, 4, 150).astype(np.uint64), rng.integers(0, 60, 150)
-    pairs = {(x, y) for x in range(150) for y in range(150) if values[x] == values[y]}
-    pairs = {(owner[x], owner[y]) for x, y in pairs if roots[owner[x]] != roots[owner[y]] and np.bitwise_count(sketches[owner[x]] ^ sketches[owner[y]]).sum() <= 10}
-    expected = sorted({(max(ids[x], ids[y]), min(ids[x], ids[y])) for x, y in pairs})
-    assert len(expected) > 100
-    for step in (1, 50, 500_000):
-        a, b = simhash.meet_apart(ids, sketches, roots, values, owner, 10, step)
-        assert list(zip(a, b)) == expected
-    assert not len(simhash.meet_apart(ids, sketches, roots * 0, values, owner, 10)[0])
+    shape = simhash.Shape(26, 7, 17, 70)
+    base = rng.integers(0, 2**63, shape.lanes, dtype=np.uint64)
+    sketches = np.array([base ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 63, (rng.integers(1, 9), shape.lanes), dtype=np.uint64)) for _ in range(90)])
+    ids, roots = rng.permutation(90) + 100, rng.integers(0, 7, 90)
+    bits = lambda i, t: sum(int(w) << 64 * k for k, w in enumerate(sketches[i])) >> t * shape.bits & (1 << shape.bits) - 1
+    meets = lambda i, j: any((bits(i, t) ^ bits(j, t)).bit_count() <= 2 for t in range(shape.tables))
+    near = lambda i, j: np.bitwise_count(sketches[i] ^ sketches[j]).sum() <= shape.allowed
+    expected = sorted((max(ids[i], ids[j]), min(ids[i], ids[j])) for i in range(90) for j in range(i) if roots[i] != roots[j] and near(i, j) and meets(i, j))
+    assert 300 < len(expected) < 0.95 * 90 * 89 / 2
+    every = simhash.masks(1)[: shape.bits + 1]
+    for step in (7, 500_000):
+        got = []
+        for table in range(shape.tables):
+            short = simhash.chunk(sketches, table, shape.bits)
+            assert [int(x) for x in short] == [bits(i, table) for i in range(90)]
+            values, owner = np.concatenate([short ^ m for m in every]), np.tile(np.arange(90), len(every))
+            a, b = simhash.meet_apart(ids, sketches, roots, values, owner, shape, table, step)
+            got += zip(a.tolist(), b.tolist(), strict=True)
+        assert sorted(got) == expected
+    assert not len(simhash.meet_apart(ids, sketches, roots * 0, values, owner, shape, 16)[0])
+
+
+def test_shape_follows_the_number_of_texts():
+    few, many = simhash.Shape.of(1000, 0.8), simhash.Shape.of(10**9, 0.8)
+    assert few.bits == 26 and 2**many.bits >= 27 * 10**9 and many.tables > few.tables
+    for shape in (few, many):
+        assert shape.tables * shape.bits <= shape.lanes * 64 and 1 - (1 - sum(math.comb(shape.bits, k) * 0.1515**k * 0.8485 ** (shape.bits - k) for k in range(3))) ** shape.tables > 0.979
+
+
+def test_a_ball_reaches_few_slices():
+    for bits, most in ((0, 1), (3, 7), (10, 56)):
+        codes = simhash.slice_codes(bits)
+        assert len(np.unique(simhash.slice_of(simhash.masks(2), codes))) == most
+    home = np.bincount(simhash.slice_of(np.random.default_rng(0).integers(0, 2**63, 64000, dtype=np.uint64) * np.uint64(2), simhash.slice_codes(6)), minlength=64)
+    assert home.min() > 800
+
+
+@pytest.mark.parametrize("size", [3, 6, 12])
+def test_recall_of_families_around_the_bound(make, size):
+    """Families of edited copies with pairs on both sides of 0.8: of the pairs of 0.8 or more nine in ten at least end in one group."""
+    rng = np.random.default_rng(size)
+    rows, sets = [], []
+    for i in range(240 // size):
+        words = [f"w{k}" for k in rng.integers(0, 3000, 250)]
+        for copy in range(size):
+            own = list(words)
+            for at in rng.choice(250, rng.integers(2, 5), replace=False):
+                own[at] = f"new{i}x{copy}x{at}"
+            rows.append((len(rows), " ".join(own)))
+            sets.append({" ".join(own[k : k + 5]) for k in range(246)})
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(make(rows)).collect()}
+    near = [(a, b) for a in range(len(rows)) for b in range(a - a % size, a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    found = sum(got.get(a, a) == got.get(b, b) for a, b in near)
+    assert len(near) > 100 and found >= 0.95 * len(near), (found, len(near))
 
 
 def test_families_near_the_bound_lose_no_link(make):
