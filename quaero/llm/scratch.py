@@ -12,7 +12,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -66,6 +66,12 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
+    def counted(self, df: DataFrame, **sums: Column) -> tuple[DataFrame, dict]:
+        """As :meth:`table`, and aggregates of the rows, taken while they are written: no job reads them for it."""
+        seen = Observation()
+        out = self.table(df.observe(seen, *[c.alias(k) for k, c in sums.items()]))
+        return out, seen.get
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

@@ -187,8 +187,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, id_col: st
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.table(fingerprints(docs, width, id_col, text_col))
-    nodes = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    count, total = nodes.agg(F.count("*"), F.sum("n")).first()
+    nodes, seen = scratch.counted(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), count=F.count(F.lit(1)), total=F.sum("n"))
+    count, total = seen["count"], seen["total"]
     links = ball_links(scratch, nodes, count, radius, slice_values)
     stars = components(scratch, links)
     placed = nodes.join(stars.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("b", "fp").alias("root"))
@@ -437,8 +437,8 @@ def _grouped(docs: DataFrame, scratch: Scratch, width: int, similarity: float, i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["key", "sketch"])
 
     prints = scratch.table(texts.mapInArrow(sketched, f"key {key_type}, sketch binary"))
-    nodes = scratch.table(prints.groupBy("sketch").agg(F.min("key").alias("key"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
-    distinct = nodes.count()
+    nodes, seen = scratch.counted(prints.groupBy("sketch").agg(F.min("key").alias("key"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), n=F.count(F.lit(1)))
+    distinct = seen["n"]
     maybe = similar_links(scratch, nodes, distinct, shape)
     sets = _shingled(scratch, texts, nodes, maybe, count, width)
     near = components(scratch, _verified(scratch, sets, maybe, similarity))
@@ -504,8 +504,8 @@ def _verified(scratch: Scratch, sets: DataFrame, links: DataFrame, similarity: f
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     uses = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("uses"))
-    used = scratch.table(sets.join(uses, "id"))
-    total = 2 * links.count()
+    used, seen = scratch.counted(sets.join(uses, "id"), total=F.sum("uses"))
+    total = seen["total"] or 0
     one = lookup(links, used.select(F.col("id").alias("a"), F.col("shingles").alias("x"), "uses"), "a", "uses", total).select("a", "b", "x")
     two = lookup(one, used.select(F.col("id").alias("b"), F.col("shingles").alias("y"), "uses"), "b", "uses", total).select("a", "b", "x", "y")
     out = scratch.table(two.mapInArrow(compare, "a long, b long"))
@@ -526,9 +526,10 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     rows = _grouped(docs, scratch, width, similarity, "doc_id", "text")
     keys = rows.groupBy("key").agg(F.first("best").alias("best"), F.count("*").alias("m"))
     key, m, again = (free_name(c, docs) for c in ("_key", "_m", "_again"))
-    listed = scratch.table(keys.where("key <> best or m > 1").select(F.col("key").alias(key), F.col("m").alias(m), (F.col("key") == F.col("best")).alias(again)))
-    total, repeated = listed.agg(F.sum(m), F.count(F.when(F.col(again), 1))).first()
-    marked = lookup(docs.withColumn(key, _keyed(docs, "doc_id", "text")), listed, key, m, max(total or 0, docs.count()), "left")
+    listed = keys.where("key <> best or m > 1").select(F.col("key").alias(key), F.col("m").alias(m), (F.col("key") == F.col("best")).alias(again))
+    listed, seen = scratch.counted(listed, total=F.sum(m), repeated=F.count(F.when(F.col(again), 1)))
+    repeated = seen["repeated"]
+    marked = lookup(docs.withColumn(key, _keyed(docs, "doc_id", "text")), listed, key, m, seen["total"] or 0, "left")
     out = marked.where(F.col(again).isNull()).select(*docs.columns)
     if repeated:  # a row of each key; the others are dropped before the shuffle too
         whole = F.first(F.struct(*[F.col(c) for c in docs.columns])).alias("row")
