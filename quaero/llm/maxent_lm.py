@@ -2,12 +2,18 @@
 
 The most frequent training words (the head) are dealt by frequency into classes
 of :data:`WIDTH`; every other word belongs to one of :data:`TAILS` tail classes
-by its last bytes.  A word's chance is that of its class given the context times
-that of the word given the class and context; inside a tail class it is the
+by its last bytes, and there to one of WIDTH buckets by its hash.  A word's
+chance is that of its class given the context times that of the word, or of the
+bucket, given the class and context; inside a bucket of the tail it is the
 add-one frequency.  Context features (previous word, the word before it, both)
-are hashed to rows of weights.  Biases start at the training frequencies; the
-rows are trained by gradient steps in every partition from shared weights, and
-averaged by tokens between rounds.  Each training document is used in one round.
+are hashed to rows of weights.  Biases start at the training frequencies.
+
+Training documents are dealt by a hash of doc_id and text into as many shards as
+the training tokens ask for (:data:`SHARD` tokens each).  A shard's task trains
+from shared weights, its documents in the order of their hashes; the shards'
+weights are averaged by tokens, in the shards' order, between rounds.  So the
+weights follow from the table's rows and not from how these are partitioned.
+Each distinct training document is used in one of the rounds.
 
 Word counts cover all training tokens.  Words of at least ``N / KNOWN`` tokens
 (at most :data:`KNOWN`) are broadcast; the rest are looked up by a shuffle join
@@ -23,18 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaero.llm.scratch import Scratch
+from quaero.llm.scratch import Scratch, shuffle_cleanup
 from quaero.llm.wordbytes import LOWER, SPACE, Words, mix, segment_sum, text_groups
 
 WIDTH, HEADS, TAILS = 64, 16, 16
 KNOWN = 1 << 20
 ROWS = 1 << 13
 SLOTS = 1 << 18
-#: Rounds of training between which the partitions' weights are averaged, and tokens of a gradient step.
-ROUNDS, STEP = 2, 8192
-BLOCKS = 16
+#: Rounds of training between which the shards' weights are averaged, tokens of a gradient step, and of a shard.
+ROUNDS, STEP, SHARD = 2, 8192, 1 << 19
+#: Parts of the weights that are averaged each on its own, and shards that are averaged at once.
+BLOCKS, TOGETHER = 16, 64
 END = np.uint64(0x5EED0FE2D)
 _CLASSES = HEADS + TAILS
+_HEAD_WORDS = WIDTH * HEADS
 _NO_DOC = -(1 << 63)
 
 
@@ -47,7 +55,7 @@ class Vocabulary:
     known: np.ndarray  # hashes of frequent words, in order
     counts: np.ndarray
     number: np.ndarray  # each known word's head number, -1 for tail words
-    tail_total: np.ndarray  # tokens + words + 1 of each tail class
+    tail_total: np.ndarray  # tokens + words + 1 of each bucket of the tail
 
     def __post_init__(self):
         """A table from a hash's low bits to a known word's place; where words share them, the last's, and the rest are searched."""
@@ -107,24 +115,25 @@ class Tokens:
             at = words.end - back
             last = last * np.uint64(257) + np.where(at >= words.start, data[np.maximum(at, 0)], 0).astype(np.uint64)
         self.tail = np.zeros(len(self.doc), np.int64)
-        self.tail[body] = (mix(last) % np.uint64(TAILS)).astype(np.int64)
+        self.tail[body] = (mix(last) % np.uint64(TAILS)).astype(np.int64) * WIDTH + (self.hash[body] >> np.uint64(40)).astype(np.int64) % WIDTH
 
     def symbols(self, vocabulary: Vocabulary) -> np.ndarray:
-        """Head numbers, then tail classes after them."""
+        """Head numbers, then buckets of the tail after them."""
         self.place = vocabulary.look_up(self.hash)
         head = np.where(self.place >= 0, vocabulary.number[self.place] if len(vocabulary.number) else -1, -1)
-        return np.where(head >= 0, head, WIDTH * HEADS + self.tail)
+        return np.where(head >= 0, head, _HEAD_WORDS + self.tail)
+
 
-    def contexts(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The symbols one and two tokens before each, one past all symbols at a text's start."""
-        none = WIDTH * HEADS + TAILS
-        one, two = np.full(len(symbol), none), np.full(len(symbol), none)
-        one[1:], two[2:] = symbol[:-1], symbol[:-2]
-        place = np.arange(len(symbol)) - np.repeat(self.first[:-1], self.n)
-        return np.where(place >= 1, one, none), np.where(place >= 2, two, none)
+def contexts(symbol: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols one and two tokens before each, one past all symbols at a text's start, for texts of ``size`` tokens."""
+    none = WIDTH * _CLASSES
+    one, two = np.full(len(symbol), none), np.full(len(symbol), none)
+    one[1:], two[2:] = symbol[:-1], symbol[:-2]
+    place = np.arange(len(symbol)) - np.repeat(np.cumsum(size) - size, size)
+    return np.where(place >= 1, one, none), np.where(place >= 2, two, none)
 
 
-_SYMBOLS = WIDTH * HEADS + TAILS + 1
+_SYMBOLS = WIDTH * _CLASSES + 1
 
 
 def _rows(*parts) -> np.ndarray:
@@ -137,7 +146,7 @@ def _rows(*parts) -> np.ndarray:
 
 _every = np.arange(_SYMBOLS)
 _ROW_ONE, _ROW_TWO = _rows(1, _every), _rows(2, _every)
-_GROUP_ONE, _GROUP_TWO = (_rows(k, np.repeat(_every, HEADS), np.tile(np.arange(HEADS), _SYMBOLS)) for k in (4, 5))
+_GROUP_ONE, _GROUP_TWO = (_rows(k, np.repeat(_every, _CLASSES), np.tile(np.arange(_CLASSES), _SYMBOLS)) for k in (4, 5))
 
 
 def class_rows(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -146,7 +155,7 @@ def class_rows(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def word_rows(one: np.ndarray, two: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, ...]:
-    return _GROUP_ONE[one * HEADS + group], _GROUP_TWO[two * HEADS + group]
+    return _GROUP_ONE[one * _CLASSES + group], _GROUP_TWO[two * _CLASSES + group]
 
 
 def _scores(bias: np.ndarray, table: np.ndarray, rows: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -164,13 +173,22 @@ def _totals(x: np.ndarray) -> np.ndarray:
 
 
 def _chances(weights: Weights, symbol, one, two):
-    """(class rows, class scores, which tokens are of the head, their class, word rows, word scores)."""
+    """(class rows, class scores, word rows, word scores) of tokens; a word's class is its number over WIDTH."""
     rows = class_rows(one, two)
     by_class = _scores(weights.class_bias, weights.to_class, rows)
-    head = np.flatnonzero(symbol < WIDTH * HEADS)
-    group = symbol[head] // WIDTH
-    inner = word_rows(one[head], two[head], group)
-    return rows, by_class, head, group, inner, _scores(weights.word_bias[group], weights.to_word, inner)
+    group = symbol // WIDTH
+    inner = word_rows(one, two, group)
+    return rows, by_class, inner, _scores(weights.word_bias[group], weights.to_word, inner)
+
+
+def log_chances(weights: Weights, symbol, one, two) -> np.ndarray:
+    """Natural log chances of symbols in their contexts."""
+    out = np.empty(len(symbol))
+    for at in range(0, len(symbol), STEP):
+        s = symbol[at : at + STEP]
+        _, by_class, _, by_word = _chances(weights, s, one[at : at + STEP], two[at : at + STEP])
+        out[at : at + STEP] = _log_chance(by_class, s // WIDTH) + _log_chance(by_word, s % WIDTH)
+    return out
 
 
 def _log_chance(x: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -186,10 +204,6 @@ def _gradient(x: np.ndarray, target: np.ndarray) -> np.ndarray:
     return x
 
 
-def class_of(symbol: np.ndarray) -> np.ndarray:
-    return np.where(symbol < WIDTH * HEADS, symbol // WIDTH, symbol - WIDTH * HEADS + HEADS)
-
-
 def _step(table: np.ndarray, seen: np.ndarray, rows: tuple[np.ndarray, ...], gradient: np.ndarray, rate: float) -> None:
     """Add each row's summed gradients, over the root of how often the row was met."""
     for own in rows:
@@ -225,10 +239,9 @@ def train_on(weights: Weights, seen: tuple[np.ndarray, np.ndarray], symbol, one,
     """Gradient steps over tokens, in place."""
     for at in range(0, len(symbol), STEP):
         s, a, b = symbol[at : at + STEP], one[at : at + STEP], two[at : at + STEP]
-        rows, by_class, head, _, inner, by_word = _chances(weights, s, a, b)
-        _step(weights.to_class, seen[0], rows, _gradient(by_class, class_of(s)), rate)
-        if len(head):
-            _step(weights.to_word, seen[1], inner, _gradient(by_word, s[head] % WIDTH), rate)
+        rows, by_class, inner, by_word = _chances(weights, s, a, b)
+        _step(weights.to_class, seen[0], rows, _gradient(by_class, s // WIDTH), rate)
+        _step(weights.to_word, seen[1], inner, _gradient(by_word, s % WIDTH), rate)
 
 
 def _count(docs: DataFrame) -> DataFrame:
@@ -265,57 +278,93 @@ def _vocabulary(counts: DataFrame) -> tuple[Vocabulary, Weights]:
     h, c, tail = h[order], c[order], tail[order]
     by_count = np.lexsort((h, -c))
     ends = by_count[h[by_count] == END]  # the end is a head token however few texts there are
-    head = np.concatenate((ends, by_count[h[by_count] != END]))[: WIDTH * HEADS]
+    head = np.concatenate((ends, by_count[h[by_count] != END]))[:_HEAD_WORDS]
     head = head[np.lexsort((h[head], -c[head]))]
     number = np.full(len(h), -1)
     number[head] = np.arange(len(head))
-    total = np.ones(TAILS)
+    total = np.ones(TAILS * WIDTH)
     for r in counts.groupBy("tail").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
         total[r.tail] += r.c + r.v
     np.subtract.at(total, tail[head], c[head] + 1)
-    words = np.zeros(WIDTH * HEADS)
+    words = np.zeros(_HEAD_WORDS)
     words[: len(head)] = c[head]
-    share = np.concatenate((words.reshape(HEADS, WIDTH).sum(1), total))
-    words = words.reshape(HEADS, WIDTH)
+    words = np.concatenate((words, total)).reshape(_CLASSES, WIDTH)
+    share = words.sum(1)
     log_share = lambda x: np.log(np.maximum(x, 1e-6) / np.maximum(x, 1e-6).sum(-1, keepdims=True)).astype(np.float32)
     weights = Weights(log_share(share), log_share(words), np.zeros((ROWS, _CLASSES), np.float32), np.zeros((ROWS, WIDTH), np.float32))
     return Vocabulary(int(n), int(v), h, c, number, total), weights
 
 
-def _train(docs: DataFrame, vocabulary, weights: Weights, part: int, parts: int) -> Weights:
-    """One round: every partition trains on its documents of the round; the weights are averaged by tokens."""
+def _train(docs: DataFrame, vocabulary, weights: Weights, part: int, parts: int, shard: int) -> Weights:
+    """One round over a share of the distinct training documents: each shard trains, and the weights are averaged by tokens."""
+    shards = max(1, -(-vocabulary.value.n // (parts * shard)))
     start = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def run(batches):
-        from pyspark import TaskContext
-
-        own = Weights(start.value.class_bias, start.value.word_bias, start.value.to_class.copy(), start.value.to_word.copy())
-        seen, done = (np.zeros(ROWS), np.zeros(ROWS)), 0
+    def read(batches):
+        """(shard, key, symbols) of documents; what this task has met lately is not given again."""
+        met: set[tuple[int, int]] = set()
         for batch in batches:
-            for _, data, offsets in text_groups(batch.column(0)):
+            for rows, data, offsets in text_groups(batch.column(2)):
+                own = batch.slice(rows.start, rows.stop - rows.start)
+                names = list(zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True))
+                new = []
+                for i, name in enumerate(names):
+                    if name not in met:
+                        met.add(name)
+                        new.append(i)
+                if len(met) > 500_000:
+                    met.clear()
+                if not new:
+                    continue
                 tokens = Tokens(data, offsets)
-                symbol = tokens.symbols(vocabulary.value)
-                train_on(own, seen, symbol, *tokens.contexts(symbol))
-                done += len(symbol)
-        if done:
-            blocks = np.array_split(own.flat(), BLOCKS)
-            task = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS)), pa.array(np.full(BLOCKS, task % 64)), pa.array(np.full(BLOCKS, float(done))), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "salt", "n", "w"])
+                symbol = tokens.symbols(vocabulary.value).astype("<u2")
+                given = pa.array([symbol[tokens.first[i] : tokens.first[i + 1]].tobytes() for i in new], pa.binary())
+                yield pa.RecordBatch.from_arrays([own.column(3).take(new), own.column(1).take(new), own.column(0).take(new), given], ["shard", "key", "doc_id", "symbols"])
+
+    def train(key, table):
+        table = table.sort_by([("key", "ascending"), ("doc_id", "ascending")])
+        names = np.stack([table.column(c).to_numpy() for c in ("key", "doc_id")], 1)
+        first = np.append(True, (names[1:] != names[:-1]).any(1))
+        texts = [np.frombuffer(x.as_py(), "<u2").astype(np.int64) for x in table.column("symbols").filter(pa.array(first))]
+        own, seen, done, at = weights_of(start.value), (np.zeros(ROWS), np.zeros(ROWS)), 0, 0
+        while at < len(texts):  # some 64 steps at once
+            end = at + 1
+            while end < len(texts) and sum(map(len, texts[at:end])) < 64 * STEP and end - at < 4096:
+                end += 1
+            symbol, size = np.concatenate(texts[at:end]), np.array([len(x) for x in texts[at:end]])
+            train_on(own, seen, symbol, *contexts(symbol, size))
+            done, at = done + len(symbol), end
+        blocks = np.array_split(own.flat(), BLOCKS)
+        number = key[0].as_py()
+        return pa.table({"block": np.arange(BLOCKS), "team": np.full(BLOCKS, number // TOGETHER), "shard": np.full(BLOCKS, number), "n": np.full(BLOCKS, float(done)), "w": pa.array([b.tobytes() for b in blocks], pa.binary())})
 
     def average(key, table):
+        table = table.sort_by("shard")
         total, n = None, 0.0
         for size, w in zip(table.column("n").to_pylist(), table.column("w"), strict=True):
             value = np.frombuffer(w.as_py(), np.float32) * size
             total, n = (value, size) if total is None else (total + value, n + size)
-        return pa.table({"block": [key[0].as_py()], "salt": [0], "n": [n], "w": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
-
-    schema = "block long, salt long, n double, w binary"
-    trained = docs.where(f"not held_out and pmod(key, {parts}) = {part}").select("text").mapInArrow(run, schema)
-    rows = trained.groupBy("block", "salt").applyInArrow(average, schema).groupBy("block").applyInArrow(average, schema).orderBy("block").collect()
+        first = table.column("shard")[0].as_py()
+        return pa.table({"block": [key[0].as_py()], "team": [first // TOGETHER // TOGETHER], "shard": [first // TOGETHER], "n": [n], "w": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
+
+    schema = "block long, team long, shard long, n double, w binary"
+    chosen = docs.where(f"not held_out and pmod(key, {parts}) = {part}").select("doc_id", "key", "text", F.expr(f"pmod(xxhash64(key, doc_id), {shards})").alias("shard"))
+    trained = chosen.mapInArrow(read, "shard long, key long, doc_id long, symbols binary").groupBy("shard").applyInArrow(train, schema)
+    left = shards
+    while left > 1:  # a team of shards at a time
+        trained = trained.groupBy("block", "team").applyInArrow(average, schema)
+        left = -(-left // TOGETHER)
+    with shuffle_cleanup(docs.sparkSession):
+        rows = sorted(trained.collect(), key=lambda r: r.block)
     start.unpersist()
     return weights.with_flat(np.concatenate([np.frombuffer(bytes(r.w), np.float32) for r in rows])) if rows else weights
 
 
+def weights_of(shared: Weights) -> Weights:
+    """A copy to train."""
+    return Weights(shared.class_bias, shared.word_bias, shared.to_class.copy(), shared.to_word.copy())
+
+
 def _rare(tokens: Tokens, rare: np.ndarray) -> list[pa.Array]:
     """Each text's tokens among ``rare``: their hashes, and how often each comes, as lists."""
     at = np.flatnonzero(rare)
@@ -329,7 +378,16 @@ def _rare(tokens: Tokens, rare: np.ndarray) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(cuts, pa.array(h[starts].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times))]
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _repeated(texts: DataFrame, piece: int = 1000) -> DataFrame:
+    """Each row ``m`` times; pieces of rows that come very often are dealt out before they are written out."""
+    once = texts.where(F.col("m") <= piece)
+    often = texts.where(F.col("m") > piece).withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr(f"(m - 1) div {piece}"))))
+    often = often.repartition("doc_id", "key", "piece").withColumn("times", F.least(F.lit(piece), F.col("m") - piece * F.col("piece"))).drop("piece")
+    both = once.withColumn("times", F.col("m")).unionByName(often)
+    return both.withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).drop("_", "times")
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
 
     Trains on the rows whose crc32 of doc_id (as text) modulo 7 is not 2; a row
@@ -346,7 +404,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     known, weights = _vocabulary(counts)
     vocabulary = spark.sparkContext.broadcast(known)
     for part in range(ROUNDS):
-        weights = _train(docs, vocabulary, weights, part, ROUNDS)
+        weights = _train(docs, vocabulary, weights, part, ROUNDS, shard)
     model = spark.sparkContext.broadcast(weights)
 
     def by_text(batches):
@@ -356,19 +414,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             for rows, data, offsets in text_groups(batch.column(2)):
                 part, tokens = batch.slice(rows.start, rows.stop - rows.start), Tokens(data, offsets)
                 symbol = tokens.symbols(words)
-                one, two = tokens.contexts(symbol)
-                p = np.empty(len(symbol))
-                for at in range(0, len(symbol), STEP):
-                    s = symbol[at : at + STEP]
-                    _, by_class, head, _, _, by_word = _chances(model.value, s, one[at : at + STEP], two[at : at + STEP])
-                    mine = _log_chance(by_class, class_of(s))
-                    mine[head] += _log_chance(by_word, s[head] % WIDTH)
-                    p[at : at + STEP] = mine
-                p /= np.log(10)
+                p = log_chances(model.value, symbol, *contexts(symbol, tokens.n)) / np.log(10)
                 seen = tokens.place >= 0
                 frequent = np.where(seen, log_known[tokens.place] if len(log_known) else 0.0, 0.0)
                 inner = frequent - np.log10(words.tail_total)[tokens.tail]
-                value = p + np.where(symbol >= WIDTH * HEADS, inner, 0.0)
+                value = p + np.where(symbol >= _HEAD_WORDS, inner, 0.0)
                 sums = [tokens.n, segment_sum(seen, tokens.first), segment_sum(frequent, tokens.first) - tokens.n * np.log10(words.n + words.v + 1.0), segment_sum(value, tokens.first)]
                 lists = _rare(tokens, ~seen)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), *map(pa.array, sums), *lists], ["doc_id", "key", "held_out", "n_tokens", "known", "base", "value", "rare", "times"])
@@ -381,7 +431,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     added = rare.join(rest, "h").groupBy("doc_id", "key").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("n").alias("found"))
     same = ["doc_id", "key", "held_out", "n_tokens", "known"]
     texts = texts.groupBy(*same).agg(F.count("*").alias("m"), F.min("base").alias("base"), F.min("value").alias("value"))  # repeated rows are one, and come back below
-    out = texts.join(added, ["doc_id", "key"], "left").withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("m").cast("int"))))
+    out = _repeated(texts.join(added, ["doc_id", "key"], "left"))
     more = F.coalesce("more", F.lit(0.0)) / F.col("m")
     return out.select(
         F.nullif("doc_id", F.lit(_NO_DOC)).alias("doc_id"), "held_out", "n_tokens", (F.col("known") + F.coalesce(F.expr("found div m"), F.lit(0))).cast("long").alias("n_known"),

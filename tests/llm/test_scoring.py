@@ -148,9 +148,14 @@ def test_language_model(make):
     n, v = sum(count.values()), len(count)
     saved, maxent_lm.KNOWN = maxent_lm.KNOWN, 256  # most words are looked up by the join
     try:
-        out = maxent_lm.score(make(rows)).collect()
+        runs = [maxent_lm.score(make(rows, parts), shard=1500).collect() for parts in (2, 8, 13)]
     finally:
         maxent_lm.KNOWN = saved
+    out = runs[0]
+    name = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
+    for other in runs[1:]:  # however the rows are partitioned
+        for x, y in zip(sorted(out, key=name), sorted(other, key=name), strict=True):
+            assert x[:5] == y[:5] and x.score == pytest.approx(y.score, rel=1e-9)
     expected = [(i, held(i), len(tokens(t)), sum(count[w] > 0 for w in tokens(t)), n, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in tokens(t))) for i, t in rows]
     order = lambda r: (r[0] is None, r[0] or 0, r[1:])
     for got, want in zip(sorted((tuple(r) for r in out), key=order), sorted(expected, key=order), strict=True):
@@ -161,15 +166,45 @@ def test_language_model(make):
     assert maxent_lm.score(make(AWKWARD)).count() == len(AWKWARD)
 
 
-def test_class_chances_sum_to_one():
-    rng = np.random.default_rng(4)
-    w = maxent_lm.Weights(rng.normal(size=32).astype(np.float32), rng.normal(size=(16, 64)).astype(np.float32), rng.normal(size=(maxent_lm.ROWS, 32)).astype(np.float32), rng.normal(size=(maxent_lm.ROWS, 64)).astype(np.float32))
-    every = np.arange(maxent_lm.WIDTH * maxent_lm.HEADS + maxent_lm.TAILS)
-    one, two = np.full(len(every), 5), np.full(len(every), 9)
-    _, by_class, head, _, _, by_word = maxent_lm._chances(w, every, one, two)
-    p = maxent_lm._log_chance(by_class, maxent_lm.class_of(every))
-    p[head] += maxent_lm._log_chance(by_word, every[head] % maxent_lm.WIDTH)
-    assert np.exp(p).sum() == pytest.approx(1, abs=1e-4)
+def random_weights(seed):
+    rng, m = np.random.default_rng(seed), maxent_lm
+    classes = m.HEADS + m.TAILS
+    normal = lambda *shape: rng.normal(size=shape).astype(np.float32)
+    return m.Weights(normal(classes), normal(classes, m.WIDTH), normal(m.ROWS, classes), normal(m.ROWS, m.WIDTH))
+
+
+def test_chances_sum_to_one_over_vocabulary_and_unknown():
+    m, w = maxent_lm, random_weights(4)
+    every = np.arange(m.WIDTH * (m.HEADS + m.TAILS))
+    p = np.exp(m.log_chances(w, every, np.full(len(every), 5), np.full(len(every), 1500)))
+    assert p.sum() == pytest.approx(1, abs=1e-4)
+    counts = {i: [3, 1, 2] for i in range(m.WIDTH * m.TAILS)}  # words of each bucket, and one unknown
+    inner = {i: sum(c + 1 for c in own) + 1 for i, own in counts.items()}
+    words = p[: m.WIDTH * m.HEADS].sum() + sum(p[m.WIDTH * m.HEADS + i] * ((c + 1) / inner[i]) for i, own in counts.items() for c in [*own, 0])
+    assert words == pytest.approx(1, abs=1e-4)
+
+
+def test_chances_equal_plain_sums():
+    m, w, rng = maxent_lm, random_weights(6), np.random.default_rng(7)
+    symbol, size = rng.integers(0, 2048, 40), np.array([1, 2, 30, 7])
+    one, two = m.contexts(symbol, size)
+    got, at = m.log_chances(w, symbol, one, two), 0
+    for n in size:
+        for i in range(at, at + n):
+            a, b = symbol[i - 1] if i > at else 2048, symbol[i - 2] if i > at + 1 else 2048
+            assert (one[i], two[i]) == (a, b)
+            group = symbol[i] // 64
+            by_class = w.class_bias + sum(w.to_class[r[0]] for r in m.class_rows(np.array([a]), np.array([b])))
+            by_word = w.word_bias[group] + sum(w.to_word[r[0]] for r in m.word_rows(np.array([a]), np.array([b]), np.array([group])))
+            expected = by_class[group] - math.log(np.exp(by_class.astype(float)).sum()) + by_word[symbol[i] % 64] - math.log(np.exp(by_word.astype(float)).sum())
+            assert got[i] == pytest.approx(expected, abs=1e-3)
+        at += n
+
+
+def test_rows_that_come_very_often(spark):
+    rows = [(1, 5, 2500, "a"), (2, 6, 1, "b"), (3, 7, 1000, "c"), (3, 8, 1001, "d")]
+    out = maxent_lm._repeated(spark.createDataFrame(rows, "doc_id long, key long, m long, x string"), 100)
+    assert {(r.x, r["count"]) for r in out.groupBy("x").count().collect()} == {(x, m) for _, _, m, x in rows}
 
 
 def test_run_sums():
