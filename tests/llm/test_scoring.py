@@ -389,6 +389,28 @@ def test_mixing_rows(make):
     assert mixing.weigh(make([])).count() == 0
 
 
+@pytest.mark.parametrize("max_cells", [100_000, 1])
+def test_mixing_to_given_targets(spark, max_cells):
+    rng = np.random.default_rng(9)
+    rows = [(i, "w " * int(rng.integers(60, 90)), str(rng.choice(["a", "b", "c"])), str(rng.choice(["en", "de"])), ["law", "art"][i % 2]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
+    wanted = {("source", "a"): 0.6, ("source", "b"): 0.4, ("topic", "law"): 3.0, ("topic", "art"): 1.0}
+    targets = spark.createDataFrame([(d, x, s) for (d, x), s in wanted.items()], "dimension string, label string, share double")
+    mix = mixing.Mix(sweeps=4 if max_cells == 1 else 50, allowed=0.02, part=0.2)
+    out = mixing.weigh(docs, mix, max_cells, targets).collect()
+    total = sum(r.n_tokens * r.weight for r in out)
+    share = lambda column, label: sum(r.n_tokens * r.weight for r in out if r[column] == label) / total
+    assert [share("source", x) for x in "abc"] == pytest.approx([0.6, 0.4, 0], abs=0.02)
+    assert share("topic", "law") == pytest.approx(0.75, abs=0.02) and {r.topic for r in out} == {"law", "art"}
+    assert not any(r.sampled for r in out if r.source == "c") and sum(r.n_tokens * r.probability for r in out) == pytest.approx(0.2 * sum(r.n_tokens for r in out), rel=1e-3)
+    for bad in ([("source", "nowhere", 1.0)], [("source", "a", 0.0)], [("lang", "en", -1.0)]):
+        with pytest.raises(ValueError):
+            mixing.weigh(docs, mix, max_cells, spark.createDataFrame(bad, targets.schema))
+    tied = docs.where("not (source = 'a' and topic = 'law')").where("not (source = 'b' and topic = 'art')").where("source <> 'c'")
+    with pytest.raises(mixing.Infeasible):  # a and art go together, and cannot have 0.6 and 0.25
+        mixing.weigh(tied, mix, max_cells, targets)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 @pytest.mark.parametrize("name", ["op6_decontaminate", "op7_mixing", "op8_substring_dedup", "op10_secret_scan"])
 def test_queries_equal_sql(spark, name):
