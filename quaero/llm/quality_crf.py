@@ -6,8 +6,11 @@ Viterbi path gives the labels.  A document is retained if at least
 ``least_share`` of its words are in content lines and it passes the base rules.
 
 The model is fitted on the driver from a bounded sample of labelled documents
-(:data:`SAMPLE` documents, :data:`SAMPLE_LINES` lines of each), whose lines take
-its quality label but for text said before.  Everything else reads all documents.
+(:data:`SAMPLE` documents, of each :data:`RUNS` runs of :data:`RUN` lines spread
+over the whole text).  Lines are labelled by what is known of them there: in a
+good document a line is content unless it was said before, stands in other
+documents of the sample too or is mostly symbols; in a bad one only a line of
+clean prose that is found nowhere else is.  Everything else reads all documents.
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ from pyspark.sql import functions as F
 from quaero.llm.filters import keep_rows
 from quaero.llm.wordbytes import SPACE, Words, covered, gram_in_doc, grams, mix, segment_sum, span_hashes, text_groups
 
-#: Labelled documents, and lines of each, that the model is fitted on.
-SAMPLE, SAMPLE_LINES = 3000, 40
+#: Labelled documents that the model is fitted on, runs of lines of each, and lines of a run; shorter texts are used whole.
+SAMPLE, RUNS, RUN = 3000, 10, 40
+#: Sampled documents from which on a line that they share is boilerplate.
+SHARED = 3
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _UPPER = np.zeros(256, bool)
@@ -60,6 +65,7 @@ class Lines:
     first: np.ndarray
     words: np.ndarray
     features: np.ndarray
+    line: np.ndarray  # hash of each line
 
 
 def _counts(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -99,7 +105,8 @@ def read_lines(data: np.ndarray, offsets: np.ndarray) -> Lines:
     word_at = np.searchsorted(words.start, start)
     word_to = np.searchsorted(words.start, end)
     n = word_to - word_at
-    line_key = mix(span_hashes(data, start, end) + mix(line_doc.astype(np.uint64) + np.uint64(7)))
+    line = span_hashes(data, start, end)
+    line_key = mix(line + mix(line_doc.astype(np.uint64) + np.uint64(7)))
     worded = np.flatnonzero(n > 0)
     order = worded[np.argsort(line_key[worded], kind="stable")]
     again = np.zeros(len(start), bool)
@@ -114,7 +121,7 @@ def read_lines(data: np.ndarray, offsets: np.ndarray) -> Lines:
         np.ones(len(start), bool), n == 0, in_symbols > 0.02, in_symbols > 0.08, (_counts(_UPPER[data], start, end) > 0.6 * letters) & (letters > 3), share(_DIGIT[data]) > 0.2,
         _counts(data == 0x7C, start, end) > 0.2 * some, share(data == 0x21) > 0.04, repeats > 0.5, again, (n > 0) & (n <= 2), (n > 2) & (n <= 6), n > 12, (n > 24) & (in_symbols <= 0.02) & (repeats <= 0.5), chars > 14 * some,
     )
-    return Lines(words.n.astype(np.int64), word_chars, _counts(symbol, text_start, text_end), segment_sum(again.astype(np.int64), first), segment_sum(repeat.astype(np.int64), words.first), first, n, np.stack(columns, 1).astype(np.float32))
+    return Lines(words.n.astype(np.int64), word_chars, _counts(symbol, text_start, text_end), segment_sum(again.astype(np.int64), first), segment_sum(repeat.astype(np.int64), words.first), first, n, np.stack(columns, 1).astype(np.float32), line)
 
 
 def viterbi(model: Crf, features: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -150,9 +157,19 @@ def viterbi(model: Crf, features: np.ndarray, first: np.ndarray) -> np.ndarray:
     return label
 
 
-def line_labels(features: np.ndarray, quality: int) -> np.ndarray:
-    """The labels that a document of known quality teaches for its lines: in a good one too, text said before is boilerplate."""
-    return quality * (features[:, FEATURES.index("repeats itself")] == 0).astype(np.int64)
+def line_labels(features: np.ndarray, quality: int, shared: np.ndarray) -> np.ndarray:
+    """The labels that a document of known quality teaches for its lines; ``shared`` says which lines other documents have too."""
+    has = lambda name: features[:, FEATURES.index(name)] != 0
+    noise = shared | has("repeats itself") | has("repeated line") | has("many symbols") | has("shouts")
+    prose = (has("many words") | has("dozens of clean words")) & ~has("symbols") & ~has("capitals") & ~has("digits") & ~has("cells") & ~has("long words")
+    return (~noise & (prose if not quality else ~has("blank"))).astype(np.int64)
+
+
+def runs_of(n: int) -> list[tuple[int, int]]:
+    """Spans of lines of a text of n lines: all of them, or RUNS runs from its start to its end."""
+    if n <= RUNS * RUN:
+        return [(a, min(n, a + RUN)) for a in range(0, n, RUN)]
+    return [(a, a + RUN) for a in np.linspace(0, n - RUN, RUNS).astype(int).tolist()]
 
 
 def fit(features: list[np.ndarray], labels: list[np.ndarray], steps: int = 120, decay: float = 1e-3) -> Crf:
@@ -205,26 +222,32 @@ def fit(features: list[np.ndarray], labels: list[np.ndarray], steps: int = 120,
     return Crf(emission, transition, start)
 
 
-def fit_from_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> Crf:
+def fit_from_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf:
     """The model of a bounded sample of labelled documents, the same whatever the partitioning.
 
-    Labels that are null or contradict each other are left out.
+    Labels that are null or contradict each other are left out; of several
+    texts of one doc_id one is taken, by its hash.
     """
     one = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
     chosen = one.where("quality = most").select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "quality")
 
     def run(batches):
         for batch in batches:
             for part, data, offsets in text_groups(batch.column(1)):
                 found = read_lines(data, offsets)
-                cut = [found.features[a : min(b, a + lines)].astype(np.uint8).tobytes() for a, b in zip(found.first, found.first[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], batch.column(2)[part.start : part.stop], pa.array(cut, pa.binary())], ["doc_id", "quality", "features"])
-
-    got = sorted(((r.doc_id, r.quality, bytes(r.features)) for r in rows.mapInArrow(run, "doc_id long, quality int, features binary").collect()))
-    got = list({r[0]: r for r in got}.values())
-    features = [np.frombuffer(r[2], np.uint8).reshape(-1, len(FEATURES)) for r in got]
-    return fit(features, [line_labels(f, r[1]) for f, r in zip(features, got, strict=True)])
+                spans = [[(a + x, a + y) for x, y in runs_of(b - a)] for a, b in zip(found.first.tolist(), found.first[1:].tolist(), strict=False)]
+                cut = lambda of, kind: pa.array([[of[a:b].astype(kind).tobytes() for a, b in own] for own in spans], pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], batch.column(2)[part.start : part.stop], cut(found.features, np.uint8), cut(found.line, "<u8")], ["doc_id", "quality", "features", "lines"])
+
+    got = sorted(rows.mapInArrow(run, "doc_id long, quality int, features array<binary>, lines array<binary>").collect(), key=lambda r: r.doc_id)
+    features = [[np.frombuffer(bytes(x), np.uint8).reshape(-1, len(FEATURES)) for x in r.features] for r in got]
+    lines = [[np.frombuffer(bytes(x), "<u8") for x in r.lines] for r in got]
+    every, of = np.unique(np.concatenate([np.unique(np.concatenate(x)) for x in lines if x] or [np.zeros(0, np.uint64)]), return_counts=True)
+    common = every[of >= SHARED]
+    truth = [[line_labels(f, r.quality, np.isin(x, common)) for f, x in zip(fs, xs, strict=True)] for r, fs, xs in zip(got, features, lines, strict=True)]
+    return fit([f for fs in features for f in fs], [y for ys in truth for y in ys])
 
 
 _RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 #: Labelled rows of each class in the sample; hashed features; grades above zero.
 SAMPLE, BITS, GRADES = 1500, 20, 3
 _WORD = re.compile(r"[^\W\d_]+")
-_REMEMBERED = 300_000
+#: Words whose weights a task remembers, and letters of such a word at most; longer ones are worked out each time.
+_REMEMBERED, _SHORT = 300_000, 40
 
 
 def words_of(text: str | None) -> dict[str, int]:
@@ -162,9 +163,10 @@ def score(docs: DataFrame, model: Ordinal, cut: float = 0.4, id_col: str = "doc_
         class Known(dict):
             def __missing__(self, word):
                 value = sum(weights.get(f, 0.0) for f in features_of(word))
-                if len(self) >= _REMEMBERED:
-                    self.clear()
-                self[word] = value
+                if len(word) <= _SHORT:
+                    if len(self) >= _REMEMBERED:
+                        self.clear()
+                    self[word] = value
                 return value
 
         known = Known()

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from quaero.llm import html_extract, maxent_lm, mixing, quality_crf, token_count, toxicity
 from awkward_rows import AWKWARD
@@ -68,6 +69,35 @@ def test_crf_learns_lines_and_needs_both_labels():
     assert quality_crf.fit([clean], [np.ones(3, int)]) is quality_crf.PLAIN
 
 
+def test_lines_are_taught_by_evidence_from_whole_texts(spark, make):
+    q = quality_crf
+    f = lambda *names: [float(n in names or n == "bias") for n in q.FEATURES]
+    lines = np.array([f("many words"), f("many words"), f("blank"), f("few words"), f("repeated line", "few words"), f("many words", "symbols")])
+    shared = np.array([False, True, False, False, False, False])
+    assert q.line_labels(lines, 1, shared).tolist() == [1, 0, 0, 1, 0, 1] and q.line_labels(lines, 0, shared).tolist() == [1, 0, 0, 0, 0, 0]
+    assert q.runs_of(0) == [] and q.runs_of(41) == [(0, 40), (40, 41)]
+    spans = q.runs_of(100_000)
+    assert len(spans) == q.RUNS and spans[0][0] == 0 and spans[-1][1] == 100_000 and all(b - a == q.RUN for a, b in spans)
+    good = [(i, "\n".join(" ".join(f"w{i}x{k}y{n}" for n in range(15)) for k in range(6)) + "\nShare this page now\n" + f"last{i} line here") for i in range(60)]
+    bad = [(100 + i, "\n".join(f"$$ {i}{k} ## %% **" for k in range(8))) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i < 100), 0) for i, _ in good + bad], "doc_id long, quality int, toxic int")
+    models = [q.fit_from_labels(make(rows, parts), labels) for rows, parts in ((good + bad, 2), ((good + bad + good)[::-1], 7))]
+    assert all(np.allclose(getattr(models[0], a), getattr(models[1], a), atol=1e-9) for a in ("emission", "transition", "start"))
+    out = {r.doc_id: r for r in q.judge(make(good + bad), models[0]).collect()}
+    assert all(out[i].content_share > 0.8 for i, _ in good) and all(out[i].content_share < 0.2 for i, _ in bad)
+
+
+def test_rows_are_kept_by_their_own_text(make, awkward):
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, long), (1, "short"), (None, long + " x"), (None, None), (2, ""), (3, long), (3, long)]
+    docs = make(rows)
+    out = quality_crf.keep_good(docs, quality_crf.PLAIN)
+    assert out.dtypes == docs.dtypes
+    assert sorted(((r.doc_id or 0, r.text) for r in out.collect())) == sorted([(1, long), (0, long + " x"), (3, long), (3, long)])
+    assert quality_crf.keep_good(make([]), quality_crf.PLAIN).count() == 0
+    assert quality_crf.keep_good(awkward, quality_crf.PLAIN).count() == quality_crf.judge(awkward, quality_crf.PLAIN).where("kept").count()
+
+
 # toxicity
 
 
@@ -99,6 +129,26 @@ def test_toxicity_held_out(spark, make, awkward):
     assert toxicity.score(make([]), model).count() == 0
 
 
+def test_scores_equal_plain_sums(make):
+    """Every text's severities by the formula, a feature at a time."""
+    model = toxicity.Ordinal({f: 0.1 * (k + 1) for k, w in enumerate(("grunk", "snarfling", "x" * 60)) for f in toxicity.features_of(w)}, np.array([0.4, 1.1, 2.0]))
+    rows = [*AWKWARD, (50, "Grunk grunk GRUNK grunk snarf"), (51, "snarflings, " + "x" * 60 + " " + "x" * 61), (52, "gru-nk 4 snarfling")]
+    out = toxicity.score(make(rows), model).collect()
+
+    def plain(text):
+        x = 0.0
+        for word, n in collections.Counter(re.findall(r"[^\W\d_]+", (text or "").lower())).items():
+            for key in [word, *(word[:k] + "*" for k in range(4, 8) if len(word) >= k)]:
+                x += min(n, 3) * model.weights.get(xxhash.xxh64_intdigest(key) & (1 << toxicity.BITS) - 1, 0.0)
+        above = [1 / (1 + math.exp(t - x)) for t in model.thresholds]
+        exact = [a - b for a, b in zip([1, *above], [*above, 0])]
+        return round(sum(above), 9), exact.index(max(exact)), above[0] >= 0.4
+
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    assert sorted(((r.doc_id, round(r.expected_severity, 9), r.severity, r.toxic) for r in out), key=key) == sorted([(i, *plain(t)) for i, t in rows], key=key)
+    assert len({r.severity for r in out}) > 1
+
+
 def test_ordinal_gradient_finds_order():
     rng = np.random.default_rng(2)
     rows = [np.full(int(k), 7) for k in rng.integers(0, 10, 300)]
