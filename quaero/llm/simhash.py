@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quaero.llm.components import components
 from quaero.llm.scratch import Scratch
-from quaero.llm.skew import free_name, lookup
+from quaero.llm.skew import free_name, lookup, sift
 from quaero.llm.wordbytes import LOWER, SPACE, Words, grams, mix, text_groups
 
 BITS = 64
@@ -79,6 +79,17 @@ def slice_codes(bits: int) -> np.ndarray:
     return 1 << (np.arange(BITS, dtype=np.int64) % bits) if bits else np.zeros(BITS, np.int64)
 
 
+def slicing(values: int, most: int, inner: int, width: int = BITS) -> tuple[np.ndarray, int, int]:
+    """(codes, bits dealt by, all bits) of slices of ``most`` values or fewer on average, for fingerprints of ``width`` bits.
+
+    A task gets the slices that differ in the last ``inner`` bits of their
+    number alone, and takes one after the other; a fingerprint is dealt by the
+    first ones only.
+    """
+    every = min(width, max(0, int(np.ceil(np.log2(max(1, values / most))))))
+    return slice_codes(every), max(0, every - inner), every
+
+
 def slice_of(values: np.ndarray, codes: np.ndarray) -> np.ndarray:
     out = np.zeros(len(values), np.int64)
     for b in range(BITS):
@@ -144,12 +155,12 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def ball_links(scratch: Scratch, nodes: DataFrame, count: int, radius: int = 4, slice_values: int = SLICE_VALUES) -> DataFrame:
+def ball_links(scratch: Scratch, nodes: DataFrame, count: int, radius: int = 4, slice_values: int = SLICE_VALUES, inner: int = 2) -> DataFrame:
     """Links (a > b) that connect all of ``nodes`` (column fp, distinct) within ``radius`` bits."""
     every = masks(radius // 2)
-    bits = max(0, int(np.ceil(np.log2(max(1, count * len(every) / slice_values)))))
-    codes = slice_codes(bits)
-    reach = np.unique(slice_of(every, codes))
+    codes, bits, all_bits = slicing(count * len(every), slice_values, inner)
+    low = np.int64((1 << bits) - 1)
+    reach = np.unique(slice_of(every, codes) & low)
 
     def deal(batches):
         step = max(1, 4_000_000 // len(reach))
@@ -157,7 +168,7 @@ def ball_links(scratch: Scratch, nodes: DataFrame, count: int, radius: int = 4,
             xs = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(xs), step):
                 block = xs[at : at + step]
-                to = (slice_of(block, codes)[:, None] ^ reach[None, :]).ravel()
+                to = ((slice_of(block, codes) & low)[:, None] ^ reach[None, :]).ravel()
                 order = np.argsort(to, kind="stable")
                 to = to[order]
                 sent = np.repeat(block, len(reach))[order]
@@ -167,7 +178,8 @@ def ball_links(scratch: Scratch, nodes: DataFrame, count: int, radius: int = 4,
 
     def join(key, table):
         xs = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("xs")])
-        a, b = meet(xs, key[0].as_py(), codes, radius)
+        met = [meet(xs, key[0].as_py() | more << bits, codes, radius) for more in range(1 << (all_bits - bits))]
+        a, b = (np.concatenate(x) for x in zip(*met, strict=True))
         return pa.table({"x": pa.array(a.view(np.int64)), "y": pa.array(b.view(np.int64))})
 
     dealt = nodes.select("fp").mapInArrow(deal, "part long, xs binary")
@@ -200,7 +212,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, id_col: st
 
 
 #: Chance that a pair just as similar as asked meets, at least; bits of a short fingerprint, at least.
-MEETING, LEAST_BITS = 0.98, 26
+MEETING, LEAST_BITS = 0.97, 26
 
 
 @dataclass(frozen=True)
@@ -211,6 +223,7 @@ class Shape:
     lanes: int
     tables: int
     allowed: int
+    similarity: float
 
     @classmethod
     def of(cls, count: int, similarity: float) -> Shape:
@@ -227,7 +240,7 @@ class Shape:
         bits = max(LEAST_BITS, int(np.ceil(np.log2((LEAST_BITS + 1) * max(1, count)))))
         meets = sum(comb(bits, k) * apart**k * (1 - apart) ** (bits - k) for k in range(3))
         lanes = int(np.ceil(np.ceil(np.log(1 - MEETING) / np.log1p(-meets)) * bits / BITS))
-        return cls(bits, lanes, lanes * BITS // bits, int(lanes * BITS * apart + 2.5 * np.sqrt(lanes * BITS * apart * (1 - apart))))
+        return cls(bits, lanes, lanes * BITS // bits, int(lanes * BITS * apart + 2.5 * np.sqrt(lanes * BITS * apart * (1 - apart))), similarity)
 
 
 def shingle_sets(column: pa.Array, width: int):
@@ -261,8 +274,27 @@ def chunk(sketches: np.ndarray, table: int, bits: int) -> np.ndarray:
     return out & np.uint64((1 << bits) - 1)
 
 
-def meet_near(ids: np.ndarray, sketches: np.ndarray, values: np.ndarray, owner: np.ndarray, allowed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (larger id, smaller id) of owners that share a value and whose sketches differ in at most ``allowed`` bits.
+@dataclass
+class Sketches:
+    """Texts of one task: ids, sketches and numbers of distinct shingles."""
+
+    ids: np.ndarray
+    sketch: np.ndarray
+    size: np.ndarray
+    shape: Shape
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Differing bits of the sketches of pairs."""
+        return np.bitwise_count(self.sketch[a] ^ self.sketch[b]).sum(1)
+
+    def fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether pairs have sizes that allow the similarity: it is at most the smaller over the larger."""
+        a, b = self.size[a], self.size[b]
+        return np.minimum(a, b) >= self.shape.similarity * np.maximum(a, b)
+
+
+def meet_near(texts: Sketches, values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (larger id, smaller id) of owners that share a value and are near by sketch and size.
 
     In each group with one value a member that is not linked yet is compared
     with all members, until every member is linked or was compared: as many
@@ -271,6 +303,7 @@ def meet_near(ids: np.ndarray, sketches: np.ndarray, values: np.ndarray, owner:
     they connect what all links up to that distance connect.  By shingles some
     of them may fail where a link left out would not: see :func:`meet_apart`.
     """
+    ids = texts.ids
     order = np.lexsort((ids[owner], values))
     values, owner = values[order], owner[order]
     new = np.ones(len(values), bool)
@@ -291,8 +324,8 @@ def meet_near(ids: np.ndarray, sketches: np.ndarray, values: np.ndarray, owner:
         if not len(owner):
             break
         head = owner[at]
-        far = np.bitwise_count(sketches[owner] ^ sketches[head]).sum(1)
-        near = far <= allowed
+        far = texts.apart(owner, head)
+        near = (far <= texts.shape.allowed) & texts.fit(owner, head)
         pair = near & (owner != head)
         out.append((owner[pair], head[pair], far[pair]))
         free &= ~near
@@ -325,14 +358,15 @@ def closest_forest(a: np.ndarray, b: np.ndarray, far: np.ndarray, ids: np.ndarra
     return np.array(keep, np.int64)
 
 
-def meet_apart(ids: np.ndarray, sketches: np.ndarray, roots: np.ndarray, values: np.ndarray, owner: np.ndarray, shape: Shape, table: int, step: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (larger id, smaller id) of owners with different roots that share a value and whose sketches are near.
+def meet_apart(texts: Sketches, roots: np.ndarray, values: np.ndarray, owner: np.ndarray, table: int, step: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (larger id, smaller id) of owners with different roots that share a value and are near by sketch and size.
 
     Members of a group that have one root are not compared with each other.  A
     pair is given in the first table in which it meets, at one value that both
     balls have, so all tasks together give each pair once.  ``step`` bounds the
     pairs that are held at once.
     """
+    ids = texts.ids
     order = np.lexsort((ids[owner], roots[owner], values))
     values, owner = values[order], owner[order]
     first = np.ones(len(values), bool)
@@ -350,9 +384,9 @@ def meet_apart(ids: np.ndarray, sketches: np.ndarray, roots: np.ndarray, values:
         own, times = some[at:end], n[some[at:end]]
         a = owner[np.repeat(own, times)]
         b = owner[np.repeat(start[own], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-        near = np.bitwise_count(sketches[a] ^ sketches[b]).sum(1) <= shape.allowed
+        near = (texts.apart(a, b) <= texts.shape.allowed) & texts.fit(a, b)
         a, b, value = a[near], b[near], np.repeat(values[own], times)[near]
-        given = meets_first(sketches[a], sketches[b], value, shape, table)
+        given = meets_first(texts.sketch[a], texts.sketch[b], value, texts.shape, table)
         a, b = ids[a[given]], ids[b[given]]
         out.append(np.stack((np.maximum(a, b), np.minimum(a, b)), 1))
         at = end
@@ -370,29 +404,30 @@ def meets_first(x: np.ndarray, y: np.ndarray, value: np.ndarray, shape: Shape, t
     return out
 
 
-def similar_links(scratch: Scratch, nodes: DataFrame, count: int, shape: Shape, slice_values: int = 2_000_000) -> DataFrame:
-    """Candidate links (a > b) among ``nodes`` (id, sketch): ball hashing with half radius one in each table of short fingerprints.
+def similar_links(scratch: Scratch, nodes: DataFrame, count: int, shape: Shape, slice_values: int = 2_000_000, inner: int = 3) -> DataFrame:
+    """Candidate links (a > b) among ``nodes`` (id, sketch, size): ball hashing with half radius one in each table of short fingerprints.
 
     Each task gives a forest of its links; where ``nodes`` have a column root,
     all its pairs of different roots.
     """
     every = masks(1)[: shape.bits + 1]
-    codes = slice_codes(min(shape.bits, max(0, int(np.ceil(np.log2(max(1, count * len(every) / slice_values)))))))
-    reach = np.unique(slice_of(every, codes))
+    codes, bits, all_bits = slicing(count * len(every), slice_values, inner, shape.bits)
+    low = np.int64((1 << bits) - 1)
+    mask_slice = slice_of(every, codes)
+    reach = np.unique(mask_slice & low)
     rooted = "root" in nodes.columns
-    record = np.dtype([("id", "<i8"), *([("root", "<i8")] if rooted else []), ("s", "<u8", (shape.lanes,))])
+    record = np.dtype([("id", "<i8"), ("size", "<u4"), *([("root", "<i8")] if rooted else []), ("s", "<u8", (shape.lanes,))])
 
     def deal(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 20_000):
                 rows = batch.slice(at, 20_000)
                 own = np.zeros(rows.num_rows, record)
-                own["id"] = rows.column(0).to_numpy(zero_copy_only=False)
-                own["s"] = np.frombuffer(b"".join(rows.column(1).to_pylist()), "<u8").reshape(-1, shape.lanes)
-                if rooted:
-                    own["root"] = rows.column(2).to_numpy(zero_copy_only=False)
+                for i, name in enumerate(("id", "size", *["root"] * rooted)):
+                    own[name] = rows.column(i).to_numpy(zero_copy_only=False)
+                own["s"] = np.frombuffer(b"".join(rows.column(rows.num_columns - 1).to_pylist()), "<u8").reshape(-1, shape.lanes)
                 for table in range(shape.tables):
-                    home = slice_of(chunk(own["s"], table, shape.bits), codes)
+                    home = slice_of(chunk(own["s"], table, shape.bits), codes) & low
                     for r in np.unique(home):
                         mine = own[home == r].tobytes()
                         to = (r ^ reach).tolist()
@@ -400,20 +435,21 @@ def similar_links(scratch: Scratch, nodes: DataFrame, count: int, shape: Shape,
 
     def join(key, table):
         own = np.concatenate([np.frombuffer(x.as_py(), record) for x in table.column("rows")])
-        ids, sketches = own["id"].copy(), own["s"].copy()
-        number, part = key[0].as_py(), key[1].as_py()
-        short = chunk(sketches, number, shape.bits)
-        home, mask_slice = slice_of(short, codes), slice_of(every, codes)
-        values, owner = [], []
-        for m, at in zip(every, mask_slice, strict=True):
-            mine = np.flatnonzero(home == (at ^ part))
-            values.append(short[mine] ^ m)
-            owner.append(mine)
-        values, owner = np.concatenate(values), np.concatenate(owner)
-        a, b = meet_apart(ids, sketches, own["root"].copy(), values, owner, shape, number) if rooted else meet_near(ids, sketches, values, owner, shape.allowed)
+        texts, number = Sketches(own["id"].copy(), own["s"].copy(), own["size"].astype(float), shape), key[0].as_py()
+        short = chunk(texts.sketch, number, shape.bits)
+        home, met = slice_of(short, codes), []
+        for more in range(1 << (all_bits - bits)):
+            values, owner = [], []
+            for m, at in zip(every, mask_slice, strict=True):
+                mine = np.flatnonzero(home == (at ^ (key[1].as_py() | more << bits)))
+                values.append(short[mine] ^ m)
+                owner.append(mine)
+            values, owner = np.concatenate(values), np.concatenate(owner)
+            met.append(meet_apart(texts, own["root"], values, owner, number) if rooted else meet_near(texts, values, owner))
+        a, b = (np.concatenate(x) for x in zip(*met, strict=True))
         return pa.table({"a": a, "b": b})
 
-    dealt = nodes.select("id", "sketch", *["root"] * rooted).mapInArrow(deal, "table long, part long, rows binary")
+    dealt = nodes.select("id", "size", *["root"] * rooted, "sketch").mapInArrow(deal, "table long, part long, rows binary")
     met = dealt.groupBy("table", "part").applyInArrow(join, "a long, b long")
     return scratch.table(met if rooted else met.distinct())
 
@@ -433,16 +469,16 @@ def _grouped(docs: DataFrame, scratch: Scratch, width: int, similarity: float, i
 
     def sketched(batches):
         for batch in batches:
-            made = [sketch(x, shape.lanes).tobytes() for x in shingle_sets(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["key", "sketch"])
+            sets = list(shingle_sets(batch.column(1), width))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(x, shape.lanes).tobytes() for x in sets], pa.binary()), pa.array(map(len, sets), pa.int64())], ["key", "sketch", "size"])
 
-    prints = scratch.table(texts.mapInArrow(sketched, f"key {key_type}, sketch binary"))
-    nodes, seen = scratch.counted(prints.groupBy("sketch").agg(F.min("key").alias("key"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), n=F.count(F.lit(1)))
+    prints = scratch.table(texts.mapInArrow(sketched, f"key {key_type}, sketch binary, size long"))
+    nodes, seen = scratch.counted(prints.groupBy("sketch").agg(F.min("key").alias("key"), F.min(F.struct("key", "size"))["size"].alias("size"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), n=F.count(F.lit(1)))
     distinct = seen["n"]
     maybe = similar_links(scratch, nodes, distinct, shape)
     sets = _shingled(scratch, texts, nodes, maybe, count, width)
     near = components(scratch, _verified(scratch, sets, maybe, similarity))
-    rooted = nodes.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", "sketch", F.coalesce("b", "id").alias("root"))
+    rooted = nodes.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", "size", "sketch", F.coalesce("b", "id").alias("root"))
     rest = _verified(scratch, sets, similar_links(scratch, rooted, distinct, shape), similarity)
     scratch.drop(sets)
     stars = components(scratch, scratch.table(near.union(rest)))
@@ -485,12 +521,17 @@ def _shingled(scratch: Scratch, texts: DataFrame, nodes: DataFrame, links: DataF
             made = [x.view(np.int64) for x in shingle_sets(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ends = _ends(links).distinct()
     named = scratch.table(nodes.join(ends, "id").select("key", "id", "n"))
-    wanted = lookup(texts, named, "key", "n", total).select("id", "text").mapInArrow(shingled, "id long, shingles array<long>")
+    some = sift(texts, F.col("key.h"), named, F.col("key.h"), "maybe").where("maybe").drop("maybe")
+    wanted = lookup(some, named, "key", "n", total).select("id", "text").mapInArrow(shingled, "id long, shingles array<long>")
     return scratch.table(wanted.groupBy("id").agg(F.first("shingles").alias("shingles")))
 
 
+def _ends(links: DataFrame) -> DataFrame:
+    return links.select(F.col("a").alias("id")).union(links.select("b"))
+
+
 def _verified(scratch: Scratch, sets: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
     """The links (a > b) whose texts' shingles are as similar as asked; ``links`` are dropped."""
 
@@ -503,7 +544,7 @@ def _verified(scratch: Scratch, sets: DataFrame, links: DataFrame, similarity: f
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    uses = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("uses"))
+    uses = _ends(links).groupBy("id").agg(F.count("*").alias("uses"))
     used, seen = scratch.counted(sets.join(uses, "id"), total=F.sum("uses"))
     total = seen["total"] or 0
     one = lookup(links, used.select(F.col("id").alias("a"), F.col("shingles").alias("x"), "uses"), "a", "uses", total).select("a", "b", "x")
@@ -525,12 +566,14 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     scratch = Scratch(docs.sparkSession, "similar")
     rows = _grouped(docs, scratch, width, similarity, "doc_id", "text")
     keys = rows.groupBy("key").agg(F.first("best").alias("best"), F.count("*").alias("m"))
-    key, m, again = (free_name(c, docs) for c in ("_key", "_m", "_again"))
+    key, m, again, maybe = (free_name(c, docs) for c in ("_key", "_m", "_again", "_maybe"))
     listed = keys.where("key <> best or m > 1").select(F.col("key").alias(key), F.col("m").alias(m), (F.col("key") == F.col("best")).alias(again))
     listed, seen = scratch.counted(listed, total=F.sum(m), repeated=F.count(F.when(F.col(again), 1)))
     repeated = seen["repeated"]
-    marked = lookup(docs.withColumn(key, _keyed(docs, "doc_id", "text")), listed, key, m, seen["total"] or 0, "left")
-    out = marked.where(F.col(again).isNull()).select(*docs.columns)
+    hash_of = F.col(key)["h"]
+    sifted = sift(docs.withColumn(key, _keyed(docs, "doc_id", "text")), hash_of, listed, hash_of, maybe)
+    marked = lookup(sifted.where(maybe), listed, key, m, seen["total"] or 0, "left")
+    out = sifted.where(~F.col(maybe)).select(*docs.columns).union(marked.where(F.col(again).isNull()).select(*docs.columns))
     if repeated:  # a row of each key; the others are dropped before the shuffle too
         whole = F.first(F.struct(*[F.col(c) for c in docs.columns])).alias("row")
         out = out.union(marked.where(F.col(again)).groupBy(key).agg(whole).select("row.*"))

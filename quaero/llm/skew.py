@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A key is hot from this share of all rows on, so at most ``HOT`` keys can be hot and their lookup rows may be broadcast.
@@ -17,6 +17,25 @@ def free_name(name: str, *tables: DataFrame) -> str:
     return name
 
 
+#: Words of 64 bits in the table of :func:`sift`: so many rows at most are broadcast, however many keys there are.
+WORDS = 1 << 19
+
+
+def sift(left: DataFrame, value: Column, keys: DataFrame, key: Column, flag: str) -> DataFrame:
+    """``left`` with ``flag``: false where the hash ``value`` (long) is none of ``keys``' hashes ``key``, true where it may be one.
+
+    The keys set bits of a table of fixed size, which is broadcast.  Rows of
+    which the flag is false need no shuffle to learn that nothing joins them;
+    with very many keys more are flagged, and the result is the same.
+    """
+    word = lambda c: F.pmod(c, F.lit(WORDS))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(c, 24), F.lit(64)).cast("int"))
+    at, mask = free_name("_word", left), free_name("_mask", left)
+    bits = keys.select(word(key).alias(at), bit(key).alias(mask)).groupBy(at).agg(F.bit_or(mask).alias(mask))
+    out = left.join(F.broadcast(bits), word(value) == F.col(at), "left")
+    return out.select(*left.columns, F.coalesce(F.col(mask).bitwiseAND(bit(value)) != 0, F.lit(False)).alias(flag))
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
     """Join ``left`` to ``right`` (unique in ``key``) on ``key``.
 
