@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quaero.llm.components import components
 from quaero.llm.scratch import Scratch
-from quaero.llm.skew import free_name, lookup, sift
+from quaero.llm.skew import HOT, free_name, lookup, sift
 from quaero.llm.wordbytes import LOWER, SPACE, Words, grams, mix, text_groups
 
 BITS = 64
@@ -544,13 +544,18 @@ def _verified(scratch: Scratch, sets: DataFrame, links: DataFrame, similarity: f
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    uses = _ends(links).groupBy("id").agg(F.count("*").alias("uses"))
-    used, seen = scratch.counted(sets.join(uses, "id"), total=F.sum("uses"))
-    total = seen["total"] or 0
-    one = lookup(links, used.select(F.col("id").alias("a"), F.col("shingles").alias("x"), "uses"), "a", "uses", total).select("a", "b", "x")
-    two = lookup(one, used.select(F.col("id").alias("b"), F.col("shingles").alias("y"), "uses"), "b", "uses", total).select("a", "b", "x", "y")
+    uses = scratch.table(_ends(links).groupBy("id").agg(F.count("*").alias("uses")))
+    total = uses.agg(F.sum("uses")).first()[0] or 0
+    used = scratch.table(sets.join(uses, "id"))
+    ends = lambda end, set_: used.select(F.col("id").alias(end), F.col("shingles").alias(set_), "uses")
+    # links are split by whether their end b is hot before sets are attached to a, so no set is attached twice
+    hot = F.col("uses") * F.lit(HOT) > F.lit(int(total))
+    marked = scratch.table(links.join(F.broadcast(uses.where(hot).select(F.col("id").alias("b"), F.lit(True).alias("often"))), "b", "left").select("a", "b", "often"))
+    with_a = lambda some: lookup(marked.where(some).select("a", "b"), ends("a", "x"), "a", "uses", total).select("a", "b", "x")
+    often = with_a("often").join(F.broadcast(ends("b", "y").where(hot)), "b").select("a", "b", "x", "y")
+    two = often.union(with_a("often is null").join(ends("b", "y").where(~hot), "b").select("a", "b", "x", "y"))
     out = scratch.table(two.mapInArrow(compare, "a long, b long"))
-    scratch.drop(used, links)
+    scratch.drop(used, uses, marked, links)
     return out
 
 
