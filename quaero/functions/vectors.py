@@ -17,7 +17,8 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """A vector of length one; a vanishing vector is divided by 1e-12."""
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(norm(v), F.lit(1e-12)))
+    length = F.array(F.greatest(norm(v), F.lit(1e-12)))  # as a variable of the outer function it is worked out once a vector
+    return F.element_at(F.transform(length, lambda n: F.transform(v, lambda x: x.cast("double") / n)), 1)
 
 
 def first_pool(matrix: Column) -> Column:

@@ -23,8 +23,14 @@ def missing_fields(columns: list[str], required: tuple[str, ...]) -> list[str]:
     return sorted(set(required) - set(columns))
 
 
+def _require(what: str, raw: DataFrame, *required: str) -> None:
+    if gone := missing_fields(raw.columns, required):
+        raise InvalidData(f"{what}: missing fields {', '.join(gone)}")
+
+
 def normalize_corpus(raw: DataFrame) -> DataFrame:
-    """(id, name, text) from raw (id, name, content); ids that are no integers are null."""
+    """(id, name, text) from raw (id, name, content); ids that are no integers are null, which :func:`validate` reports."""
+    _require("corpus", raw, "id", "name", "content")
     return raw.select(whole_number(F.col("id")).alias("id"), F.col("name").cast("string").alias("name"), F.col("content").cast("string").alias("text"))
 
 
@@ -38,6 +44,12 @@ def unmatched(table: DataFrame, key: str, parent: DataFrame, parent_key: str) ->
     return table.join(parent.select(F.col(parent_key).alias(key)).distinct(), key, "left_anti")
 
 
+def misaligned(table: DataFrame, key: str, first: str, second: str) -> DataFrame:
+    """(key, first_size, second_size) of the rows whose two arrays have unequal sizes; a null array has none."""
+    size = lambda c: F.size(F.coalesce(F.col(c), F.array()))
+    return table.select(key, size(first).alias("first_size"), size(second).alias("second_size")).where("first_size <> second_size")
+
+
 def pairs(qa: DataFrame) -> DataFrame:
     """One row for each gold reference: (query_id, pos, gold_id, gold_name); arrays of unequal length go on with null."""
     zipped = F.arrays_zip(F.col("match_id").alias("i"), F.col("match_name").alias("n"))
@@ -50,13 +62,16 @@ def normalize_qa(qa: DataFrame, corpus: DataFrame) -> DataFrame:
     ``qa`` is (query_id, question, answer, match_id, match_name); the gold
     columns are arrays in the given order.  The given name stays; the corpus'
     own is beside it, with whether they are equal.  A reference that the corpus
-    doesn't have has a null name and text.
+    doesn't have has a null name and text.  Ids and names stay as given, so
+    arrays of unequal sizes are seen by :func:`validate`.
     """
+    _require("questions", qa, "query_id", "question", "answer", "match_id", "match_name")
     found = pairs(qa).join(corpus.select(F.col("id").alias("gold_id"), F.col("name").alias("corpus_name"), F.col("text").alias("gold_text")), "gold_id", "left")
     item = F.struct("pos", "gold_id", "gold_name", "gold_text", "corpus_name", (F.col("gold_name") == F.col("corpus_name")).alias("same"))
     gold = found.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("g"))
-    names = {"gold_ids": "gold_id", "gold_names": "gold_name", "gold_texts": "gold_text", "gold_corpus_names": "corpus_name", "gold_name_matches_corpus": "same"}
-    return qa.select("query_id", "question", "answer").join(gold, "query_id", "left").select("query_id", "question", F.col("answer").alias("reference_answer"), *[F.col(f"g.{v}").alias(k) for k, v in names.items()])
+    names = {"gold_texts": "gold_text", "gold_corpus_names": "corpus_name", "gold_name_matches_corpus": "same"}
+    given = qa.select("query_id", "question", "answer", F.col("match_id").alias("gold_ids"), F.col("match_name").alias("gold_names"))
+    return given.join(gold, "query_id", "left").select("query_id", "question", F.col("answer").alias("reference_answer"), "gold_ids", "gold_names", *[F.col(f"g.{v}").alias(k) for k, v in names.items()])
 
 
 def validation_report(qa: DataFrame, corpus: DataFrame, split: str = "") -> DataFrame:
@@ -65,14 +80,15 @@ def validation_report(qa: DataFrame, corpus: DataFrame, split: str = "") -> Data
     def told(rule: str, df: DataFrame, key: str) -> DataFrame:
         return df.select(F.lit(f"{split}: {rule}" if split else rule).alias("rule"), F.col(key).cast("string").alias("key"))
 
-    size = lambda c: F.size(F.coalesce(F.col(c), F.array()))
     refs = qa.select("query_id", F.explode("gold_ids").alias("gold_id"))
     parts = [
+        told("corpus id is no integer", corpus.where("id is null"), "name"),
+        told("query id is no integer", qa.where("query_id is null"), "question"),
         told("duplicate corpus id", duplicates(corpus, "id"), "id"),
         told("duplicate query id", duplicates(qa, "query_id"), "query_id"),
         told("empty question", qa.where(is_blank(F.col("question"))), "query_id"),
         told("empty answer", qa.where(is_blank(F.col("reference_answer"))), "query_id"),
-        told("misaligned gold fields", qa.where((size("gold_ids") != size("gold_names")) | (size("gold_ids") != size("gold_texts"))), "query_id"),
+        told("misaligned gold fields", misaligned(qa, "query_id", "gold_ids", "gold_names"), "query_id"),
         told("missing corpus row", unmatched(refs, "gold_id", corpus, "id").select("query_id").distinct(), "query_id"),
         told("empty corpus text", corpus.where(is_blank(F.col("name")) | is_blank(F.col("text"))), "id"),
     ]

@@ -66,11 +66,12 @@ def empty_text_check(spark, sf_dir):
     return t.conversations_qa(spark, sf_dir).where(is_blank(F.col("question")) | is_blank(F.col("answer"))).select("query_id")
 
 
-@query("SELECT doc_id FROM documents WHERE n_chars <> length(text)")
+@query("SELECT query_id, CAST(len(match_id) AS INTEGER) AS first_size, 1 AS second_size FROM qa WHERE query_id // 100 % 10 = 3")
 def array_alignment(spark, sf_dir):
-    """Documents whose stated length isn't that of their characters as an array."""
-    docs = t.table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.array_repeat(F.lit(1), F.length("text")).alias("chars"))
-    return docs.where(F.size("chars") != F.col("n_chars")).select("doc_id")
+    """Questions whose references and names are of unequal number: those of every tenth conversation, of which a name is taken away."""
+    qa = t.conversations_qa(spark, sf_dir)
+    short = F.when(F.expr("query_id div 100 % 10 = 3"), F.slice("match_name", 1, 1)).otherwise(F.col("match_name"))
+    return quality.misaligned(qa.withColumn("match_name", short), "query_id", "match_id", "match_name")
 
 
 @query("""SELECT 'empty answer' AS rule, CAST(query_id AS VARCHAR) AS key FROM qa WHERE trim(answer) = ''
@@ -82,7 +83,7 @@ def validation_report(spark, sf_dir):
     return quality.validation_report(_qa(spark, sf_dir), t.corpus(spark, sf_dir))
 
 
-@query("""SELECT (SELECT count(*) FROM qa) AS qa_total, (SELECT count(*) FROM corpus) AS corpus_count, 2.0::DOUBLE AS average_gold, (SELECT round(avg(length(question)), 6) FROM qa) AS average_question_length, (SELECT round(avg(length(answer)), 6) FROM qa) AS average_answer_length,
+@query("""SELECT (SELECT count(*) FROM qa) AS qa_total, (SELECT count(*) FROM corpus) AS corpus_count, (SELECT round(avg(len(match_id)), 6) FROM qa) AS average_gold, (SELECT round(avg(length(question)), 6) FROM qa) AS average_question_length, (SELECT round(avg(length(answer)), 6) FROM qa) AS average_answer_length,
 (SELECT count(DISTINCT query_id) FROM nqa WHERE NOT coalesce(gold_name = corpus_name, false)) AS mismatch_qa, (SELECT count(*) FROM nqa WHERE NOT coalesce(gold_name = corpus_name, false)) AS mismatch_pairs""")
 def dataset_stats(spark, sf_dir):
     out = quality.statistics(_qa(spark, sf_dir), t.corpus(spark, sf_dir))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quaero.functions.text import TOKEN, WHITE
 from quaero.operators.lexical import SMALL_QUERIES
 
-#: How many vectors of the table are queries.
+#: Every vector whose id this number divides is a query.
 VECTOR_QUERIES = 20
 TOP, POOL, CONSTANT = 10, 50, 60
 
@@ -45,7 +45,7 @@ def vectors(spark, sf_dir):
 
 
 def vector_queries(spark, sf_dir):
-    return vectors(spark, sf_dir).where(F.col("id") < VECTOR_QUERIES).select(F.col("id").alias("query_id"), "vector", "label")
+    return vectors(spark, sf_dir).where(F.col("id") % VECTOR_QUERIES == 0).select(F.col("id").alias("query_id"), "vector", "label")
 
 
 def conversations_qa(spark, sf_dir):
@@ -65,11 +65,11 @@ def conversations_qa(spark, sf_dir):
 def related(spark, sf_dir):
     """(query_id, pos, name, text): what each document says of itself and, for every fourth, of the next; partly altered."""
     c = named_corpus(spark, sf_dir)
-    text = F.when(F.col("id") % 3 == 1, F.concat("text", F.lit(" x"))).otherwise(F.concat(F.lit("\n "), "text", F.lit("\r\n")))
-    name = F.when(F.col("id") % 5 == 0, F.concat("name", F.lit("?"))).otherwise(F.col("name"))
+    text = F.when((F.col("id") % 3 == 1) | (F.col("id") % 50 == 49), F.concat("text", F.lit(" x"))).otherwise(F.concat(F.lit("\n "), "text", F.lit("\r\n")))
+    name = F.when((F.col("id") % 5 == 0) | (F.col("id") % 50 == 49), F.concat("name", F.lit("?"))).otherwise(F.col("name"))
     own = c.select(F.col("id").alias("query_id"), F.lit(0).alias("pos"), name.alias("name"), text.alias("text"))
     other = c.where("id % 4 = 1").select((F.col("id") - 1).alias("query_id"), F.lit(1).alias("pos"), "name", "text")
-    return own.union(other).where("query_id % 50 <> 49")
+    return own.union(other)
 
 
 def references(spark, sf_dir):
@@ -114,13 +114,13 @@ CTES = {
     "flags": "SELECT query_id, coalesce(bool_or(retriever = 'bm25' AND hit), false) AS bm25, coalesce(bool_or(retriever = 'dense' AND hit), false) AS dense, coalesce(bool_or(retriever = 'hybrid' AND hit), false) AS hybrid FROM q LEFT JOIN (SELECT l.query_id, retriever, true AS hit FROM lists l JOIN gold USING (query_id, id)) USING (query_id) GROUP BY query_id",
     "cats": """SELECT query_id, unnest(list_filter([CASE WHEN bm25 AND NOT dense THEN 'bm25_success_dense_failure' END, CASE WHEN dense AND NOT bm25 THEN 'dense_success_bm25_failure' END, CASE WHEN NOT bm25 AND NOT dense THEN 'both_bm25_dense_failure' END,
         CASE WHEN hybrid AND NOT bm25 AND NOT dense THEN 'hybrid_rescue' END, CASE WHEN NOT hybrid AND (bm25 OR dense) THEN 'hybrid_regression' END], lambda x: x IS NOT NULL)) AS category FROM flags""",
-    "vq": f"SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id < {VECTOR_QUERIES}",
+    "vq": f"SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id % {VECTOR_QUERIES} = 0",
     "vd": "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings",
     "qa": "SELECT conv_id * 100 + turn AS query_id, text AS question, coalesce(answer, ' ') AS answer, [conv_id * 7 % 1050, conv_id % 400] AS match_id, ['src' || (conv_id * 7 % 1050 % 20), 'src3'] AS match_name FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations) WHERE role = 'user'",
     "refs": "SELECT query_id, pos - 1 AS pos, match_id[pos] AS gold_id, match_name[pos] AS gold_name FROM (SELECT query_id, match_id, match_name, unnest(range(1, 3)) AS pos FROM qa)",
     "nqa": "SELECT query_id, pos, gold_id, gold_name, c.id IS NOT NULL AS there, c.name AS corpus_name, c.text AS gold_text FROM refs LEFT JOIN corpus c ON c.id = gold_id",
     "named": "SELECT doc_id AS id, concat_ws('-', lang, source, CAST(n_chars AS VARCHAR)) AS name, text FROM documents",
-    "rel": "SELECT * FROM (SELECT id AS query_id, 0 AS pos, CASE WHEN id % 5 = 0 THEN name || '?' ELSE name END AS name, CASE WHEN id % 3 = 1 THEN text || ' x' ELSE chr(10) || ' ' || text || chr(13) || chr(10) END AS text FROM named UNION ALL SELECT id - 1, 1, name, text FROM named WHERE id % 4 = 1) WHERE query_id % 50 <> 49",
+    "rel": "SELECT * FROM (SELECT id AS query_id, 0 AS pos, CASE WHEN id % 5 = 0 OR id % 50 = 49 THEN name || '?' ELSE name END AS name, CASE WHEN id % 3 = 1 OR id % 50 = 49 THEN text || ' x' ELSE chr(10) || ' ' || text || chr(13) || chr(10) END AS text FROM named UNION ALL SELECT id - 1, 1, name, text FROM named WHERE id % 4 = 1)",
     "keyed": f"SELECT id, {key_sql('name')} AS kn, {key_sql('text')} AS kt FROM named",
     "asked": f"SELECT query_id, pos, name, {key_sql('name')} AS kn, {key_sql('text')} AS kt FROM rel",
     "lv": """SELECT query_id, pos, name, CASE WHEN coalesce(len(p), 0) = 1 THEN 'A_exact_name_and_text' WHEN coalesce(len(t), 0) = 1 THEN 'B_exact_text_unique' WHEN coalesce(len(m), 0) = 1 THEN 'C_exact_name_unique' WHEN coalesce(len(p), 0) + coalesce(len(t), 0) + coalesce(len(m), 0) > 0 THEN 'D_ambiguous' ELSE 'D_unresolved' END AS level,

@@ -28,6 +28,11 @@ def test_normalize(spark):
         ([(1, "q", "a", [1], ["法甲"])], [*CORPUS, CORPUS[0]], "duplicate corpus id"),
         ([(1, "q", "a", [999], ["x"])], CORPUS, "missing corpus row"),
         ([(1, " 　", "a", [1], ["法甲"])], CORPUS, "empty question"),
+        ([(1, "q", "a", [1, 1], ["法甲"])], CORPUS, "misaligned gold fields: 1"),
+        ([(1, "q", "a", [1], ["法甲", "法乙"])], CORPUS, "misaligned gold fields: 1"),
+        ([(1, "q", "a", [1], None)], CORPUS, "misaligned gold fields: 1"),
+        ([(None, "q", "a", [1], ["法甲"])], CORPUS, "query id is no integer: q"),
+        ([(1, "q", "a", [1], ["法甲"])], [*CORPUS, (None, "c", "t")], "corpus id is no integer: c"),
         ([(1, "q", "", [1], ["法甲"])], CORPUS, "empty answer"),
         ([(1, "q", "a", [1], ["法甲"])], [*CORPUS, (3, "c", " ")], "empty corpus text"),
     ],
@@ -37,6 +42,16 @@ def test_violations(spark, rows, of, rule):
         quality.validate(*normalized(spark, *rows, of=of))
 
 
+def test_raw_tables_need_their_fields(spark):
+    with pytest.raises(quality.InvalidData, match="corpus: missing fields content, name"):
+        quality.normalize_corpus(spark.createDataFrame([("1", "x")], "id string, other string"))
+    with pytest.raises(quality.InvalidData, match="questions: missing fields match_name"):
+        quality.normalize_qa(spark.createDataFrame([(1, "q", "a", [1], ["n"])], QA).drop("match_name"), corpus(spark))
+    with pytest.raises(quality.InvalidData, match="corpus id is no integer: zwei"):
+        raw = spark.createDataFrame([("1", "a", "t"), ("zwei", "zwei", "t")], "id string, name string, content string")
+        quality.validate(normalized(spark, (1, "q", "a", [1], ["a"]))[0], quality.normalize_corpus(raw))
+
+
 @pytest.mark.parametrize("given, number", [("5", 5), (" 5 ", 5), ("5.0", None), ("x", None), (None, None)])
 def test_whole_number(spark, given, number):
     from pyspark.sql import functions as F
