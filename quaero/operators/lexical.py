@@ -28,7 +28,7 @@ class Bm25:
 
 @dataclass(frozen=True)
 class Index:
-    postings: DataFrame  # term, id, tf
+    postings: DataFrame  # term, id, tf, dl
     lengths: DataFrame  # id, dl
     terms: DataFrame  # term, df
     stats: DataFrame  # n, avgdl
@@ -42,15 +42,17 @@ def tokenized(corpus: DataFrame) -> DataFrame:
 def build_index(corpus: DataFrame, only: DataFrame | None = None) -> Index:
     """The index of a corpus (id, name, text); with ``only`` (term), postings of those terms alone.
 
-    Documents without a token count in n and avgdl.
+    Documents without a token count in n and avgdl.  Each posting carries its
+    document's length, so a search reads postings and need not join lengths.
+    Ids are unique.
     """
-    docs = tokenized(corpus)
-    lengths = docs.select("id", F.size("tokens").cast("long").alias("dl"))
+    docs = tokenized(corpus).select("id", F.size("tokens").cast("long").alias("dl"), "tokens")
+    lengths = docs.select("id", "dl")
     stats = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    words = docs.select("id", F.explode("tokens").alias("term"))
+    words = docs.select("id", "dl", F.explode("tokens").alias("term"))
     if only is not None:
         words = words.join(only.select("term").distinct(), "term", "left_semi")
-    postings = words.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    postings = words.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     return Index(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")), stats)
 
 
@@ -75,7 +77,7 @@ def score(queries: DataFrame, corpus: DataFrame, model: Bm25 = Bm25(), index: In
     hint = F.broadcast if small else (lambda df: df)
     index = index or build_index(corpus, hint(wanted.select("term").distinct()))
     terms = wanted.join(index.terms, "term")
-    hits = index.postings.join(hint(terms), "term").join(index.lengths, "id").crossJoin(F.broadcast(index.stats))
+    hits = index.postings.join(hint(terms), "term").crossJoin(F.broadcast(index.stats))
     part = weight(F.col("tf").cast("double"), F.col("df").cast("double"), F.col("dl").cast("double"), F.col("n").cast("double"), F.col("avgdl"), model)
     return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,17 @@ def per_query(queries: DataFrame, ranked: DataFrame, gold: DataFrame) -> DataFra
     return all_.select("query_id", *hits, *recall, zero(F.lit(1.0) / F.col("first")).alias("mrr"))
 
 
+def per_retriever(queries: DataFrame, ranked: DataFrame, gold: DataFrame, retrievers: Sequence[str]) -> DataFrame:
+    """(retriever, query_id, ...): :func:`per_query` for each of ``retrievers`` in one plan; ``ranked`` has a retriever column.
+
+    Lists and gold are read once, however many retrievers there are.
+    """
+    pair = lambda r: F.struct(r.alias("retriever"), F.col("query_id").alias("q")).alias("query_id")
+    each = lambda df: df.withColumn("retriever", F.explode(F.array(*map(F.lit, retrievers))))
+    own = [each(queries).select(pair(F.col("retriever"))), ranked.select(pair(F.col("retriever")), "rank", "id"), each(gold).select(pair(F.col("retriever")), "id")]
+    return per_query(*own).select("query_id.retriever", F.col("query_id.q").alias("query_id"), *NAMES)
+
+
 def summary(by_query: DataFrame, *keys: str) -> DataFrame:
     """Mean metrics, to six places, for each value of ``keys``; zeros over no queries."""
     means = [F.round(F.coalesce(F.avg(m), F.lit(0.0)), 6).alias(m) for m in NAMES]
@@ -33,7 +46,7 @@ def summary(by_query: DataFrame, *keys: str) -> DataFrame:
     return by_query.groupBy(*keys).agg(*counts) if keys else by_query.agg(*counts)
 
 
-def success(ranked: DataFrame, gold: DataFrame, queries: DataFrame, retrievers: list[str]) -> DataFrame:
+def success(ranked: DataFrame, gold: DataFrame, queries: DataFrame, retrievers: Sequence[str]) -> DataFrame:
     """(query_id, one boolean column a retriever): whether any gold id is among all that it returned; ``ranked`` has a retriever column."""
     hit = ranked.join(gold.select("query_id", "id").distinct(), ["query_id", "id"], "left_semi")
     flags = hit.groupBy("query_id").agg(*[F.bool_or(F.col("retriever") == r).alias(r) for r in retrievers])

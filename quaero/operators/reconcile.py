@@ -12,36 +12,53 @@ LEVELS = ("A_exact_name_and_text", "B_exact_text_unique", "C_exact_name_unique",
 STATUSES = ("clean", "order_only_conflict", "true_set_conflict", "partially_resolved", "ambiguous", "unresolved")
 
 
-def resolve(related: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``related`` (query_id, pos, name, text) with level, resolved_id and candidates.
+_KINDS = {"pair": ("k_name", "k_text"), "text": ("k_text",), "name": ("k_name",)}
+
+
+def _keyed(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(*columns, match_key(F.col("name")).alias("k_name"), match_key(F.col("text")).alias("k_text"))
+
+
+def resolve_ids(related: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``related`` (query_id, pos, name, text) with its keys, level and resolved_id.
 
     A unique match on name and text is taken first, then one on text, then one
-    on name; more than one candidate is ambiguous.  Candidate lists are counted
-    and kept as (count, least, all) so that a key that many rows share is
-    aggregated before it is joined.
+    on name; more than one candidate is ambiguous.  Of each key the count and
+    the least id are joined, never its list of ids: a key that many rows share
+    costs each of them one row.
     """
-    keyed = corpus.select("id", match_key(F.col("name")).alias("k_name"), match_key(F.col("text")).alias("k_text"))
+    keyed, out = _keyed(corpus, "id"), _keyed(related, "query_id", "pos", "name", "text")
+    for kind, keys in _KINDS.items():
+        own = keyed.groupBy(*keys).agg(F.count("*").alias(f"{kind}_n"), F.min("id").alias(f"{kind}_id"))
+        out = out.join(own, list(keys), "left")
+    unique = [F.col(f"{kind}_n") == 1 for kind in _KINDS]
+    some = F.coalesce(*[F.col(f"{kind}_n") for kind in _KINDS]).isNotNull()
+    level = F.when(unique[0], LEVELS[0]).when(unique[1], LEVELS[1]).when(unique[2], LEVELS[2]).when(some, LEVELS[3]).otherwise(LEVELS[4])
+    resolved = F.coalesce(*[F.when(u, F.col(f"{kind}_id")) for u, kind in zip(unique, _KINDS, strict=True)])
+    return out.select("query_id", "pos", "name", "text", "k_name", "k_text", level.alias("level"), resolved.alias("resolved_id"))
+
 
-    def by(kind: str, *keys: str) -> DataFrame:
-        return keyed.groupBy(*keys).agg(F.array_sort(F.collect_list("id")).alias(kind))
+def resolve(related: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``related`` with level, resolved_id (see :func:`resolve_ids`) and candidates.
 
-    asked = related.withColumns({"k_name": match_key(F.col("name")), "k_text": match_key(F.col("text"))})
-    found = asked.join(by("pair_ids", "k_name", "k_text"), ["k_name", "k_text"], "left").join(by("text_ids", "k_text"), "k_text", "left").join(by("name_ids", "k_name"), "k_name", "left")
+    The candidates of an ambiguous row are all ids of its keys, in order; those
+    lists are joined to ambiguous rows alone.
+    """
+    rows, keyed = resolve_ids(related, corpus), _keyed(corpus, "id")
     none = F.array().cast("array<bigint>")
-    found = found.withColumns({c: F.coalesce(c, none) for c in ("pair_ids", "text_ids", "name_ids")})
-    unique = lambda c: F.size(c) == 1
-    every = F.array_sort(F.array_union(F.array_union("pair_ids", "text_ids"), "name_ids"))
-    level = F.when(unique("pair_ids"), LEVELS[0]).when(unique("text_ids"), LEVELS[1]).when(unique("name_ids"), LEVELS[2]).when(F.size(every) > 0, LEVELS[3]).otherwise(LEVELS[4])
-    candidates = F.when(unique("pair_ids"), F.col("pair_ids")).when(unique("text_ids"), F.col("text_ids")).when(unique("name_ids"), F.col("name_ids")).otherwise(every)
-    out = found.withColumns({"level": level, "candidates": candidates})
-    resolved = F.when(F.col("level").isin(*LEVELS[:3]), F.element_at("candidates", 1))
-    return out.withColumn("resolved_id", resolved).select("query_id", "pos", "name", "text", "level", "resolved_id", "candidates")
+    own = ("query_id", "pos", "name", "text", "level", "resolved_id")
+    clear = rows.where(F.col("level") != LEVELS[3]).select(*own, F.when(F.col("resolved_id").isNotNull(), F.array("resolved_id")).otherwise(none).alias("candidates"))
+    unclear = rows.where(F.col("level") == LEVELS[3])
+    for kind, keys in _KINDS.items():
+        unclear = unclear.join(keyed.groupBy(*keys).agg(F.collect_list("id").alias(f"{kind}_ids")), list(keys), "left")
+    every = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.coalesce(f"{kind}_ids", none) for kind in _KINDS]))))
+    return clear.union(unclear.select(*own, every.alias("candidates")))
 
 
 def reconcile(queries: DataFrame, related: DataFrame, corpus: DataFrame) -> DataFrame:
     """Each query (query_id, match_id, match_name) with its status and ids by its related rows."""
     item = F.struct("pos", "name", "level", "resolved_id")
-    ours = resolve(related, corpus).groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    ours = resolve_ids(related, corpus).groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     refs = queries.select("query_id", F.posexplode("match_id").alias("pos", "id")).join(corpus.select("id", F.col("name").alias("own")), "id", "left")
     own = refs.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "own"))).alias("own"))
     row = queries.join(ours, "query_id", "left").join(own, "query_id", "left")

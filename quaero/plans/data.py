@@ -174,23 +174,20 @@ def range_plan(spark, sf_dir):
     return parts.select("o_orderkey", "part", (F.col("part") * 100000).alias("first"), (F.least((F.col("part") + 1) * 100000, "size") - 1).alias("last"))
 
 
-def _resolved(spark, sf_dir):
-    return reconcile.resolve(t.related(spark, sf_dir), t.named_corpus(spark, sf_dir))
-
-
 @query("SELECT query_id, pos, level, rid AS resolved_id FROM lvr")
 def resolution_level(spark, sf_dir):
-    return _resolved(spark, sf_dir).select("query_id", "pos", "level", "resolved_id")
+    return reconcile.resolve_ids(t.related(spark, sf_dir), t.named_corpus(spark, sf_dir)).select("query_id", "pos", "level", "resolved_id")
 
 
 @query("SELECT level, count(*) AS n FROM lvr GROUP BY level")
 def resolution_counts(spark, sf_dir):
-    return _resolved(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n"))
+    return reconcile.resolve_ids(t.related(spark, sf_dir), t.named_corpus(spark, sf_dir)).groupBy("level").agg(F.count("*").alias("n"))
 
 
 @query("SELECT query_id, pos, array_to_string(cand, ',') AS ids FROM lvr")
 def candidate_union(spark, sf_dir):
-    return _resolved(spark, sf_dir).select("query_id", "pos", F.array_join(F.col("candidates").cast("array<string>"), ",").alias("ids"))
+    rows = reconcile.resolve(t.related(spark, sf_dir), t.named_corpus(spark, sf_dir))
+    return rows.select("query_id", "pos", F.array_join(F.col("candidates").cast("array<string>"), ",").alias("ids"))
 
 
 def _lookup(kind: str, *keys: str):

@@ -115,10 +115,11 @@ def gold_pairs(spark, sf_dir):
     return t.gold(spark, sf_dir)
 
 
+RETRIEVERS = ("bm25", "dense", "hybrid")
+
+
 def _per_query(spark, sf_dir):
-    ranked, q, gold = lists(spark, sf_dir), t.questions(spark, sf_dir), t.gold(spark, sf_dir)
-    own = [metrics.per_query(q, ranked.where(F.col("retriever") == r), gold).select(F.lit(r).alias("retriever"), "query_id", *metrics.NAMES) for r in ("bm25", "dense", "hybrid")]
-    return reduce(DataFrame.unionByName, own)
+    return metrics.per_retriever(t.questions(spark, sf_dir), lists(spark, sf_dir), t.gold(spark, sf_dir), RETRIEVERS)
 
 
 _ROUNDED = ", ".join(f"round({m}, 6) AS {m}" for m in metrics.NAMES)
@@ -164,7 +165,7 @@ def metrics_by_subset(spark, sf_dir):
 
 
 def _flags(spark, sf_dir):
-    return metrics.success(lists(spark, sf_dir), t.gold(spark, sf_dir), t.questions(spark, sf_dir), ["bm25", "dense", "hybrid"])
+    return metrics.success(lists(spark, sf_dir), t.gold(spark, sf_dir), t.questions(spark, sf_dir), RETRIEVERS)
 
 
 @query("SELECT query_id, category FROM cats")

@@ -29,15 +29,35 @@ def questions(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
+#: Words of a question by which documents that may hold it are looked up.
+ANCHOR = 4
+
+
 def gold(spark, sf_dir):
     """(query_id, id): documents that hold a question's text whole.
 
-    The questions are a stated set; up to SMALL_QUERIES of them (counted) are broadcast.
+    The words inside a question, between its first and last space, are words of
+    every text that holds it.  Texts are looked up by ANCHOR of them in a row,
+    and those found are compared whole.  Questions of fewer words are a stated
+    set that is compared with all texts.  Up to SMALL_QUERIES questions
+    (counted) are broadcast.
     """
     q = questions(spark, sf_dir).where("question <> ''")
-    if q.limit(SMALL_QUERIES + 1).count() <= SMALL_QUERIES:
-        q = F.broadcast(q)
-    return corpus(spark, sf_dir).join(q, F.contains("text", "question")).select("query_id", "id")
+    small = q.limit(SMALL_QUERIES + 1).count() <= SMALL_QUERIES
+    hint = F.broadcast if small else (lambda df: df)
+    words, docs = F.split(F.col("question"), " "), corpus(spark, sf_dir).select("id", "text")
+    enough = F.size(words) >= ANCHOR + 2
+    anchored = q.where(enough).select("query_id", "question", F.xxhash64(F.slice(words, 2, ANCHOR)).alias("anchor"))
+    parts = F.split(F.col("text"), " ")
+    starts = F.when(F.size(parts) >= ANCHOR, F.sequence(F.lit(1), F.size(parts) - (ANCHOR - 1)))
+    anchors = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(F.col("parts"), i, ANCHOR))))
+    at = docs.withColumn("parts", parts).select("id", "text", F.explode(anchors).alias("anchor"))
+    if small:
+        found = at.join(hint(anchored), "anchor").where(F.contains("text", "question")).select("query_id", "id")
+    else:
+        maybe = at.select("id", "anchor").join(anchored.select("query_id", "anchor"), "anchor").select("query_id", "id")
+        found = maybe.join(docs, "id").join(q, "query_id").where(F.contains("text", "question")).select("query_id", "id")
+    return found.union(docs.join(hint(q.where(~enough)), F.contains("text", "question")).select("query_id", "id"))
 
 
 def vectors(spark, sf_dir):

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quaero.operators import bootstrap, dense, fusion, lexical, metrics, ranking
 
@@ -118,3 +119,28 @@ def test_bootstrap(spark):
         with pytest.raises(ValueError):
             bootstrap.difference(*bad)
     assert np.percentile([1, 2, 4, 10], [2.5, 97.5]).tolist() == pytest.approx([1.075, 9.55])
+
+
+def test_one_plan_for_all_retrievers_equals_one_each(spark):
+    gold = spark.createDataFrame([(1, 3), (1, 3), (2, 9)], "query_id long, id long")
+    lists = ranked(spark, [("x", 1, 1, 3), ("x", 1, 2, 9), ("y", 2, 4, 9), ("z", 2, 1, 9)])
+    asked = questions(spark, "a", "b", "no gold")
+    both = metrics.per_retriever(asked, lists, gold, ("x", "y"))
+    for name in ("x", "y"):
+        alone = metrics.per_query(asked, lists.where(F.col("retriever") == name), gold)
+        assert sorted(map(tuple, both.where(F.col("retriever") == name).drop("retriever").collect())) == sorted(map(tuple, alone.collect()))
+    assert both.count() == 6
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_gold_equals_containment(spark, tmp_path, monkeypatch, small):
+    """Whether questions are broadcast or not, short ones, ones of many spaces and repeated passages included."""
+    from quaero.plans import tables
+
+    texts = ["one two three four five six seven", "xone two three four five sixx", "a  b   c d e f a  b   c d e f", "", None, "two three", "one two three four five six one two three four five six"]
+    asked = ["one two three four five six", "ne two three four five si", "  b   c d ", "two three", "w", "", None, "a  b   c d e f", " two three four five "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(asked)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(tables, "SMALL_QUERIES", small)
+    expected = sorted((q, d) for q, a in enumerate(asked) for d, t in enumerate(texts) if a and t is not None and a in t)
+    assert sorted(map(tuple, tables.gold(spark, str(tmp_path)).collect())) == expected
