@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quaero.llm.components import components
 from quaero.llm.scratch import Scratch
-from quaero.llm.skew import HOT, free_name, lookup, sift
+from quaero.llm.skew import free_name, lookup, sift
 from quaero.llm.wordbytes import LOWER, SPACE, Words, grams, mix, text_groups
 
 BITS = 64
@@ -293,17 +293,17 @@ class Sketches:
         return np.minimum(a, b) >= self.shape.similarity * np.maximum(a, b)
 
 
-def meet_near(texts: Sketches, values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (larger id, smaller id) of owners that share a value and are near by sketch and size.
+def meet_near(texts: Sketches, values: np.ndarray, owner: np.ndarray, step: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Links (larger id, smaller id) that connect all owners that share a value and are near by sketch and size.
 
     In each group with one value a member that is not linked yet is compared
     with all members, until every member is linked or was compared: as many
     comparisons as members times the groups of copies among them, not pairs.
-    Of the links, those of a closest spanning forest stay: for any distance
-    they connect what all links up to that distance connect.  By shingles some
-    of them may fail where a link left out would not: see :func:`meet_apart`.
+    Members that are still not connected are then compared pair by pair.  The
+    links form a forest, fewer than the owners; by shingles they may fail where
+    a pair that they connect would not, so what they connect is to be compared.
     """
-    ids = texts.ids
+    ids, every = texts.ids, (values, owner)
     order = np.lexsort((ids[owner], values))
     values, owner = values[order], owner[order]
     new = np.ones(len(values), bool)
@@ -313,7 +313,7 @@ def meet_near(texts: Sketches, values: np.ndarray, owner: np.ndarray) -> tuple[n
     owner, new = owner[shared], new[shared]
     group = np.cumsum(new) - 1
     free = np.ones(len(owner), bool)
-    out = [(owner[:0], owner[:0], owner[:0])]
+    out = [(owner[:0], owner[:0])]
     while len(owner):
         size = np.bincount(group)
         place = np.where(free, np.arange(len(owner)), len(owner))
@@ -324,50 +324,31 @@ def meet_near(texts: Sketches, values: np.ndarray, owner: np.ndarray) -> tuple[n
         if not len(owner):
             break
         head = owner[at]
-        far = texts.apart(owner, head)
-        near = (far <= texts.shape.allowed) & texts.fit(owner, head)
+        near = (texts.apart(owner, head) <= texts.shape.allowed) & texts.fit(owner, head)
         pair = near & (owner != head)
-        out.append((owner[pair], head[pair], far[pair]))
+        out.append((owner[pair], head[pair]))
         free &= ~near
         pairs_only = np.bincount(group)[group] <= 2  # both were compared
         owner, group, free = owner[~pairs_only], group[~pairs_only], free[~pairs_only]
         group = np.unique(group, return_inverse=True)[1] if len(group) else group
-    a, b, far = (np.concatenate(x) for x in zip(*out, strict=True))
-    keep = closest_forest(a, b, far, ids)
-    a, b = ids[a[keep]], ids[b[keep]]
+    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+    root = forest(len(ids), a, b)
+    linked = np.zeros(len(ids), bool)
+    linked[a] = linked[b] = True
+    some = linked[every[1]]  # a member near no leader was one itself, and is near none
+    for a, b, _ in near_pairs(texts, root, every[0][some], every[1][some], step):
+        apart = root[a] != root[b]
+        if apart.any():
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            root = forest(len(root), np.concatenate((moved, a[apart])), np.concatenate((root[moved], b[apart])))
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    a, b = ids[moved], ids[root[moved]]
     return np.maximum(a, b), np.minimum(a, b)
 
 
-def closest_forest(a: np.ndarray, b: np.ndarray, far: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The places of links a-b of least total distance that connect all that the links connect (ties by ids)."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = root.get(up, up)
-            x = up
-        return x
-
-    keep = []
-    order = np.lexsort((np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b]), far))
-    for i, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            keep.append(i)
-    return np.array(keep, np.int64)
-
-
-def meet_apart(texts: Sketches, roots: np.ndarray, values: np.ndarray, owner: np.ndarray, table: int, step: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (larger id, smaller id) of owners with different roots that share a value and are near by sketch and size.
-
-    Members of a group that have one root are not compared with each other.  A
-    pair is given in the first table in which it meets, at one value that both
-    balls have, so all tasks together give each pair once.  ``step`` bounds the
-    pairs that are held at once.
-    """
-    ids = texts.ids
-    order = np.lexsort((ids[owner], roots[owner], values))
+def near_pairs(texts: Sketches, roots: np.ndarray, values: np.ndarray, owner: np.ndarray, step: int):
+    """Yield (a, b, value): owners with different roots that share a value and are near by sketch and size, from some ``step`` pairs a time."""
+    order = np.lexsort((texts.ids[owner], roots[owner], values))
     values, owner = values[order], owner[order]
     first = np.ones(len(values), bool)
     first[1:] = values[1:] != values[:-1]
@@ -377,19 +358,30 @@ def meet_apart(texts: Sketches, roots: np.ndarray, values: np.ndarray, owner: np
     start = np.maximum.accumulate(np.where(first, here, 0))
     n = np.maximum.accumulate(np.where(other, here, 0)) - start  # members before it of other roots
     some = np.flatnonzero(n)
-    done, out = np.cumsum(n[some]), [np.empty((0, 2), np.int64)]
-    at = 0
+    done, at = np.cumsum(n[some]), 0
     while at < len(some):
         end = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + step, "right")))
         own, times = some[at:end], n[some[at:end]]
         a = owner[np.repeat(own, times)]
         b = owner[np.repeat(start[own], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
         near = (texts.apart(a, b) <= texts.shape.allowed) & texts.fit(a, b)
-        a, b, value = a[near], b[near], np.repeat(values[own], times)[near]
+        yield a[near], b[near], np.repeat(values[own], times)[near]
+        at = end
+
+
+def meet_apart(texts: Sketches, roots: np.ndarray, values: np.ndarray, owner: np.ndarray, table: int, step: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (larger id, smaller id) of owners with different roots that share a value and are near by sketch and size.
+
+    Members of a group that have one root are not compared with each other.  A
+    pair is given in the first table in which it meets, at one value that both
+    balls have, so all tasks together give each pair once.  ``step`` bounds the
+    pairs that are held at once.
+    """
+    ids, out = texts.ids, [np.empty((0, 2), np.int64)]
+    for a, b, value in near_pairs(texts, roots, values, owner, step):
         given = meets_first(texts.sketch[a], texts.sketch[b], value, texts.shape, table)
         a, b = ids[a[given]], ids[b[given]]
         out.append(np.stack((np.maximum(a, b), np.minimum(a, b)), 1))
-        at = end
     pairs = np.concatenate(out)
     return pairs[:, 0], pairs[:, 1]
 
@@ -408,7 +400,8 @@ def similar_links(scratch: Scratch, nodes: DataFrame, count: int, shape: Shape,
     """Candidate links (a > b) among ``nodes`` (id, sketch, size): ball hashing with half radius one in each table of short fingerprints.
 
     Each task gives a forest of its links; where ``nodes`` have a column root,
-    all its pairs of different roots.
+    all its pairs of different roots, which can be as many as the square of a
+    family's size.
     """
     every = masks(1)[: shape.bits + 1]
     codes, bits, all_bits = slicing(count * len(every), slice_values, inner, shape.bits)
@@ -475,13 +468,8 @@ def _grouped(docs: DataFrame, scratch: Scratch, width: int, similarity: float, i
     prints = scratch.table(texts.mapInArrow(sketched, f"key {key_type}, sketch binary, size long"))
     nodes, seen = scratch.counted(prints.groupBy("sketch").agg(F.min("key").alias("key"), F.min(F.struct("key", "size"))["size"].alias("size"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), n=F.count(F.lit(1)))
     distinct = seen["n"]
-    maybe = similar_links(scratch, nodes, distinct, shape)
-    sets = _shingled(scratch, texts, nodes, maybe, count, width)
-    near = components(scratch, _verified(scratch, sets, maybe, similarity))
-    rooted = nodes.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", "size", "sketch", F.coalesce("b", "id").alias("root"))
-    rest = _verified(scratch, sets, similar_links(scratch, rooted, distinct, shape), similarity)
-    scratch.drop(sets)
-    stars = components(scratch, scratch.table(near.union(rest)))
+    family = components(scratch, similar_links(scratch, nodes, distinct, shape))
+    stars = components(scratch, _compared(scratch, texts, nodes, family, count, width, similarity))
     placed = scratch.table(nodes.join(stars.withColumnRenamed("a", "id"), "id", "left").select("sketch", "key", "n", F.coalesce("b", "id").alias("root")))
     best = scratch.table(placed.groupBy("root").agg(F.min("key").alias("best"), F.count("*").alias("members")))
     named = scratch.table(lookup(placed.select("root", "sketch", "n"), best, "root", "members", distinct).select("sketch", "n", "best"))
@@ -495,67 +483,119 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     linked.  One fingerprint of 64 bits and a radius of four finds copies that
     are all but equal; at 0.8 some ten of 64 bits differ.  So a longer sketch
     is dealt into short fingerprints (see :class:`Shape`), balls of radius one
-    (radius two for pairs) meet in each, colliding pairs are compared by their
-    sketches, and those that remain by their shingles.
-
-    This is done twice: first for a forest of each task's pairs, which joins
-    most copies at little cost, then for every pair that meets and is not yet
-    in one group by links that passed.  So no pair goes untested for another's
-    sake.  The first of a group is the row of the smallest doc_id, ties by text;
-    rows without doc_id come last, and component_id is null where all are.
+    (radius two for pairs) meet in each, and colliding pairs are compared by
+    their sketches.
+
+    What these pairs connect is a family.  No pair is listed: a task gives the
+    links of a forest, each text's shingles are brought to its family, and there
+    all pairs are compared by their shingles but those already in one group.
+    So no pair goes untested for another's sake, and rows grow with the texts.
+    The first of a group is the row of the smallest doc_id, ties by text; rows
+    without doc_id come last, and component_id is null where all are.
     """
     rows = _grouped(docs, Scratch(docs.sparkSession, "similar"), width, similarity, id_col, text_col)
     id_of = lambda c: F.when(~F.col(f"{c}.unnamed"), F.col(f"{c}.doc_id"))
     return rows.where("key <> best").select(id_of("key").alias("doc_id"), id_of("best").alias("component_id"))
 
 
-def _shingled(scratch: Scratch, texts: DataFrame, nodes: DataFrame, links: DataFrame, total: int, width: int) -> DataFrame:
-    """(id, shingles) of the nodes in ``links``.
+#: Shingles of a family, or of a block of a larger one, that are compared in one task (eight bytes each).
+BLOCK = 1 << 20
 
-    A pair that meets in a second round was near in a task of the first, so the
-    forest that this task gave has both its ends: the sets serve both rounds.
-    """
 
-    def shingled(batches):
-        for batch in batches:
-            made = [x.view(np.int64) for x in shingle_sets(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["id", "shingles"])
+def similar_roots(size: np.ndarray, shingles: np.ndarray, similarity: float, side: np.ndarray | None = None, step: int = 1 << 22) -> np.ndarray:
+    """For each set the first of its group, where sets of that Jaccard similarity or more are linked.
+
+    The sets lie one after the other in ``shingles``.  All pairs are compared
+    whose sizes allow the similarity and that no link connects yet; with
+    ``side`` those of different sides alone.  ``step`` bounds what is held.
+    """
+    order = np.argsort(size, kind="stable")
+    ends = np.cumsum(size)
+    starts = ends - size
+    codes = np.unique(shingles, return_inverse=True)[1]
+    own = np.zeros(len(codes), bool)
+    sizes, root = size[order], np.arange(len(size))
+    least = np.searchsorted(sizes, similarity * sizes)
+    for i, x in enumerate(order.tolist()):
+        rest = order[least[i] : i]
+        rest = rest[root[rest] != root[x]]
+        if side is not None:
+            rest = rest[side[rest] != side[x]]
+        if not len(rest):
+            continue
+        mine = codes[starts[x] : ends[x]]
+        own[mine] = True
+        done = np.cumsum(size[rest])
+        at = 0
+        while at < len(rest):
+            end = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + step, "right")))
+            some = rest[at:end]
+            n = size[some]
+            till = np.cumsum(n)
+            found = np.append(0, np.cumsum(own[codes[np.repeat(starts[some] - till + n, n) + np.arange(till[-1])]]))
+            both = found[till] - found[till - n]
+            linked = np.append(root[some[both >= similarity * (n + size[x] - both)]], root[x])
+            if len(linked) > 1:
+                root[np.isin(root, linked)] = linked.min()
+            at = end
+        own[mine] = False
+    return root
 
-    ends = _ends(links).distinct()
-    named = scratch.table(nodes.join(ends, "id").select("key", "id", "n"))
-    some = sift(texts, F.col("key.h"), named, F.col("key.h"), "maybe").where("maybe").drop("maybe")
-    wanted = lookup(some, named, "key", "n", total).select("id", "text").mapInArrow(shingled, "id long, shingles array<long>")
-    return scratch.table(wanted.groupBy("id").agg(F.first("shingles").alias("shingles")))
 
+def _compared(scratch: Scratch, texts: DataFrame, nodes: DataFrame, family: DataFrame, total: int, width: int, similarity: float) -> DataFrame:
+    """Links (a > b) that connect all nodes of a family whose shingles are as similar as asked; ``family`` has (a, b) for each node but the smallest.
 
-def _ends(links: DataFrame) -> DataFrame:
-    return links.select(F.col("a").alias("id")).union(links.select("b"))
+    The sets of a family meet in one task.  One of more than :data:`BLOCK`
+    shingles is dealt into blocks by hash, and each two of its blocks meet.
+    """
 
+    def shingled(batches):
+        for batch in batches:
+            made = [x.view(np.int64) for x in shingle_sets(batch.column(3), width)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.list_(pa.int64()))], ["id", "family", "blocks", "shingles"])
 
-def _verified(scratch: Scratch, sets: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """The links (a > b) whose texts' shingles are as similar as asked; ``links`` are dropped."""
+    def links(parts):
+        key = parts[0][0]
+        ids, side, size, shingles = (np.concatenate(x) for x in list(zip(*parts, strict=True))[1:])
+        root = similar_roots(size, shingles, similarity, None if key[1] == key[2] else side)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        a, b = ids[moved], ids[root[moved]]
+        return np.maximum(a, b), np.minimum(a, b)
 
     def compare(batches):
+        parts = []  # of the family, or the two blocks, that the rows read last belong to
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    uses = scratch.table(_ends(links).groupBy("id").agg(F.count("*").alias("uses")))
-    total = uses.agg(F.sum("uses")).first()[0] or 0
-    used = scratch.table(sets.join(uses, "id"))
-    ends = lambda end, set_: used.select(F.col("id").alias(end), F.col("shingles").alias(set_), "uses")
-    # links are split by whether their end b is hot before sets are attached to a, so no set is attached twice
-    hot = F.col("uses") * F.lit(HOT) > F.lit(int(total))
-    marked = scratch.table(links.join(F.broadcast(uses.where(hot).select(F.col("id").alias("b"), F.lit(True).alias("often"))), "b", "left").select("a", "b", "often"))
-    with_a = lambda some: lookup(marked.where(some).select("a", "b"), ends("a", "x"), "a", "uses", total).select("a", "b", "x")
-    often = with_a("often").join(F.broadcast(ends("b", "y").where(hot)), "b").select("a", "b", "x", "y")
-    two = often.union(with_a("often is null").join(ends("b", "y").where(~hot), "b").select("a", "b", "x", "y"))
-    out = scratch.table(two.mapInArrow(compare, "a long, b long"))
-    scratch.drop(used, uses, marked, links)
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+            ids, side = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            lists = batch.column(5)
+            size, flat = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy()
+            till = np.append(0, np.cumsum(size))
+            cuts = np.append(np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1))), len(ids)) if len(ids) else np.zeros(1, np.int64)
+            out = []
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                key = tuple(keys[s].tolist())
+                if parts and parts[0][0] != key:
+                    out.append(links(parts))
+                    parts = []
+                parts.append((key, ids[s:e], side[s:e], size[s:e], flat[till[s] : till[e]]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b"])
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in links(parts)], ["a", "b"])
+
+    members = family.select(F.col("a").alias("id"), F.col("b").alias("family")).union(family.select("b", "b").distinct())
+    named = scratch.table(nodes.join(members, "id").select("key", "id", "n", "size", "family"))
+    large = named.groupBy("family").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks")).where("blocks > 1")
+    dealt = scratch.table(named.join(F.broadcast(large), "family", "left").select("key", "id", "n", "family", F.coalesce("blocks", F.lit(1)).alias("blocks")))
+    some = sift(texts, F.col("key.h"), dealt, F.col("key.h"), "maybe").where("maybe").drop("maybe")
+    schema = "id long, family long, blocks long, shingles array<long>"
+    wanted = lookup(some, dealt, "key", "n", total).select("id", "family", "blocks", "text").mapInArrow(shingled, schema)
+    sets = wanted.groupBy("id").agg(*[F.first(c).alias(c) for c in ("family", "blocks", "shingles")])
+    sent = sets.withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sent = sent.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "id", "side", "shingles")
+    met = sent.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "id")
+    out = scratch.table(met.mapInArrow(compare, "a long, b long"))
+    scratch.drop(family, named, dealt)
     return out
 
 

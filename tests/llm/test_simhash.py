@@ -234,3 +234,70 @@ def test_families_near_the_bound_lose_no_link(make):
     near = [(a, b) for a in range(len(rows)) for b in range(a - a % 16, a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     lost = [(a, b) for a, b in near if got.get(a, a) != got.get(b, b)]
     assert len(near) > 500 and not lost, (len(near), len(lost))
+
+
+def test_near_texts_with_different_leaders_are_connected():
+    """Two members are near each other, but each is near another leader, and the leaders are not."""
+    spans = [(0, 0), (0, 180), (0, 60), (0, 120)]
+    sketches = np.array([np.packbits([s <= k < e for k in range(384)], bitorder="little").view("<u8") for s, e in spans])
+    texts = simhash.Sketches(np.arange(4), sketches, np.ones(4), simhash.Shape(26, 6, 14, 75, 0.8))
+    a, b = simhash.meet_near(texts, np.zeros(4, np.uint64), np.arange(4))
+    assert len(a) == 3 and not simhash.forest(4, a, b).any()
+
+
+def test_forests_connect_all_that_meets(spark):
+    rng = np.random.default_rng(5)
+    shape = simhash.Shape.of(1000, 0.8)
+    base = rng.integers(0, 2**63, (4, shape.lanes), dtype=np.uint64)
+    rows = []
+    for i in range(200):
+        own = base[i % 4].copy()
+        for b in rng.choice(shape.lanes * 64, int(rng.integers(20, 50)), replace=False):
+            own[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        rows.append((i, 100, i, bytearray(own.tobytes())))
+    scratch = Scratch(spark, "forests")
+    nodes = scratch.table(spark.createDataFrame(rows, "id long, size long, root long, sketch binary"))
+    linked = lambda some: np.array(simhash.similar_links(scratch, some, 200, shape).collect()).T
+    pairs, forests = linked(nodes), linked(nodes.drop("root"))
+    assert len(pairs[0]) > len(forests[0])
+    assert simhash.forest(200, *pairs).tolist() == simhash.forest(200, *forests).tolist()
+
+
+@pytest.mark.parametrize("step", [7, 1 << 22])
+def test_similar_roots_equal_brute_force(step):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.choice(60, int(n), replace=False)) for n in rng.integers(40, 60, 80)] + [np.array([], int)] * 2
+    side = rng.integers(0, 2, len(sets))
+    size, flat = np.array([len(x) for x in sets]), np.concatenate(sets)
+    for sides in (None, side):
+        near = [(i, j) for i in range(len(sets)) for j in range(i) if (sides is None or side[i] != side[j]) and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+        expected = simhash.forest(len(sets), *np.array(near).T)
+        assert 1 < len(set(expected.tolist())) < 80
+        assert simhash.similar_roots(size, flat, 0.8, sides, step).tolist() == expected.tolist()
+
+
+@pytest.mark.parametrize("block", [1 << 20, 10_000])
+def test_rows_of_a_family_below_the_bound_grow_with_its_texts(make, monkeypatch, block):
+    """All texts of a family are near by sketch, few pairs are 0.8 similar: no step lists the pairs, and none of 0.8 is lost."""
+    rng = np.random.default_rng(21)
+    rows, sets = [], []
+    words = [f"w{k}" for k in rng.integers(0, 3000, 300)]
+    for copy in range(150):
+        own = list(words)
+        for at in rng.choice(300, rng.integers(4, 9), replace=False):
+            own[at] = f"new{copy}x{at}"
+        rows.append((len(rows), " ".join(own)))
+        sets.append({" ".join(own[k : k + 5]) for k in range(296)})
+    made = []
+    for name in ("similar_links", "_compared"):
+        plain = getattr(simhash, name, None)
+        if plain:
+            monkeypatch.setattr(simhash, name, lambda *x, plain=plain: made.append((out := plain(*x)).count()) or out)
+    if hasattr(simhash, "BLOCK"):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(make(rows)).collect()}
+    assert len(made) > 1 and max(made) < 14 * 150, made
+    near = [(a, b) for a in range(150) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = simhash.forest(150, *np.array(near).T)
+    assert 20 < len(near) < 0.2 * 150 * 149 / 2 and 10 < len(set(root.tolist()))
+    assert [got.get(i, i) for i in range(150)] == root.tolist()
