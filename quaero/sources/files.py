@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import zlib
 from pathlib import Path
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,11 +137,48 @@ def load_config(path: str) -> dict:
     return merged(load_config(str(Path(path).parent / base)), own) if base else own
 
 
+#: Bytes of rows that :func:`fingerprint` packs at a time.
+CHUNK = 1 << 20
+
+
+def _packed(batches):
+    """(part, seq, body): the rows of one sorted partition, end to end and compressed, in chunks of some CHUNK bytes."""
+    part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+    def chunk():
+        return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int64()), "body": pa.array([zlib.compress(b"".join(held), 1)], pa.binary())})
+
+    for batch in batches:
+        for row in batch.column(0):
+            held.append(row.as_py())
+            size += len(held[-1])
+            if size >= CHUNK:
+                yield chunk()
+                seq, held, size = seq + 1, [], 0
+    if held:
+        yield chunk()
+
+
+def _hashed(batches):
+    """The hash of chunks that come in order."""
+    whole = hashlib.sha256()
+    for batch in batches:
+        for body in batch.column(0):
+            whole.update(zlib.decompress(body.as_py()))
+    yield pa.RecordBatch.from_pydict({"sha256": [whole.hexdigest()]})
+
+
 def fingerprint(table: DataFrame, order: str, *columns: str) -> DataFrame:
-    """(sha256): of the rows in order, each its columns joined by NUL and ended by a line feed; one task, for tables of short rows."""
+    """(sha256): of the rows in order, each its columns joined by NUL and ended by a line feed.
+
+    Rows are sorted by ranges and packed in parallel.  One task reads the
+    chunks in order, as a hash of a whole must, and holds a batch of them.
+    """
     row = F.concat(F.concat_ws("\0", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit("\n"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("r")))), lambda x: x["r"]), "")
-    return table.agg(F.sha2(whole, 256).alias("sha256"))
+    rows = table.select(F.col(order).alias("o"), row.cast("binary").alias("r")).repartitionByRange("o").sortWithinPartitions("o", "r")
+    chunks = rows.select("r").mapInArrow(_packed, "part int, seq long, body binary")
+    whole = chunks.repartition(1).sortWithinPartitions("part", "seq").select("body").mapInArrow(_hashed, "sha256 string")
+    return whole.agg(F.coalesce(F.max("sha256"), F.lit(hashlib.sha256().hexdigest())).alias("sha256"))  # without rows there may be no task
 
 
 def wide_fingerprint(table: DataFrame, *columns: str) -> DataFrame:

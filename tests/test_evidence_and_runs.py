@@ -159,3 +159,18 @@ def test_acceptance_expects_a_record_of_each_question(spark, monkeypatch):
         monkeypatch.setattr(plans, "_records", lambda spark, sf_dir, rows=rows: spark.createDataFrame(rows, schema))
         row = plans.acceptance_flags(spark, "").first()
         assert (row.all_ok, row.ready) == (whole, whole)
+
+
+def test_fingerprint_packs_sorted_ranges(spark, monkeypatch):
+    """Many partitions and chunks, equal orders, nulls and no rows; no task holds the rows in one array."""
+    import hashlib
+
+    rows = [(i % 40 if i % 7 else None, f"n{i}", None if i % 5 == 0 else "é" * (i % 9)) for i in range(300)]
+    monkeypatch.setattr(files, "CHUNK", 64)
+    table = spark.createDataFrame(rows, "i long, n string, t string").repartition(5)
+    line = lambda i, n, t: f"{'' if i is None else i}\0{n}\0{t or ''}\n".encode()
+    lines = sorted(((i is not None, i or 0), line(i, n, t)) for i, n, t in rows)
+    found = files.fingerprint(table, "i", "i", "n", "t")
+    assert found.first().sha256 == hashlib.sha256(b"".join(x for _, x in lines)).hexdigest()
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert files.fingerprint(table.limit(0), "i", "i", "n", "t").first().sha256 == hashlib.sha256(b"").hexdigest()
