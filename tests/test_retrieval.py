@@ -144,3 +144,33 @@ def test_gold_equals_containment(spark, tmp_path, monkeypatch, small):
     monkeypatch.setattr(tables, "SMALL_QUERIES", small)
     expected = sorted((q, d) for q, a in enumerate(asked) for d, t in enumerate(texts) if a and t is not None and a in t)
     assert sorted(map(tuple, tables.gold(spark, str(tmp_path)).collect())) == expected
+
+
+def test_dense_search_holds_few_products(spark, monkeypatch):
+    """Many steps and merges give the same rows as one matrix, and no task holds more than a few products a query."""
+    rng = np.random.default_rng(4)
+    vectors = np.round(rng.normal(size=(300, 6)), 1)  # so that many products are equal
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vector array<double>").repartition(2)
+    queries = table.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    expected = {(q, n): i for q in range(0, 300, 20) for n, i in enumerate(np.lexsort((np.arange(300), -np.round(vectors @ vectors[q], 9)))[:7], 1)}
+    monkeypatch.setattr(dense, "CELLS", 64)
+    assert {(r.query_id, r["rank"]): r.id for r in dense.search(queries, table, 7).collect()} == expected
+
+    most = 0
+
+    class Watched(np.ndarray):
+        def __array_finalize__(self, of):
+            nonlocal most
+            most = max(most, self.size)
+
+    import pyarrow as pa
+
+    task = []
+    monkeypatch.setattr(dense, "CELLS", 1 << 12)
+    monkeypatch.setattr(dense, "_by_blocks", lambda q, v, block, f: task.append(f) or v.selectExpr("id as query_id", "id", "0d as score"))
+    dense.search(queries, table, 7)
+    part = [(q, rng.normal(size=6)) for q in range(50)]
+    monkeypatch.setattr(dense, "_matrix", lambda c: np.stack(c.to_numpy(zero_copy_only=False)).astype(float).view(Watched))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20_000)), pa.array(rng.normal(size=(20_000, 6)).tolist())], ["id", "vector"])
+    rows = sum(b.num_rows for b in task[0](part, [batch]))
+    assert rows == 350 and most <= 20_000 * 6  # the vectors themselves; the products of one batch are a million
