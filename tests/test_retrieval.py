@@ -174,3 +174,21 @@ def test_dense_search_holds_few_products(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(20_000)), pa.array(rng.normal(size=(20_000, 6)).tolist())], ["id", "vector"])
     rows = sum(b.num_rows for b in task[0](part, [batch]))
     assert rows == 350 and most <= 20_000 * 6  # the vectors themselves; the products of one batch are a million
+
+
+def test_products_of_all_pairs(spark, monkeypatch):
+    """Against the column function, with nulls, unequal sizes, halves and several blocks."""
+    from quaero.functions import vectors as vec
+
+    rows = [(20, [1.0, 0.5]), (40, [0.0078125, 0.0]), (60, None), (80, [1.0]), (1, [-1.0, 0.0]), (2, [1.0, None]), (3, [3.0, 2e-7]), (4, []), (None, [2.0, 2.0]), (0, [])]
+    table = spark.createDataFrame(rows, "id long, vector array<float>").repartition(2)
+    queries = table.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    pairs = table.join(queries.withColumnRenamed("vector", "q"))
+    expected = pairs.select("query_id", "id", F.round(vec.inner_product(F.col("q"), F.col("vector")), 6).alias("score"))
+    order = lambda df: sorted(map(str, df.collect()))
+    for cells, width, block in ((1 << 19, 128, 4096), (4, 2, 2)):
+        monkeypatch.setattr(dense, "CELLS", cells)
+        monkeypatch.setattr(dense, "ROWS", width)
+        found = dense.products(queries, table, 6, block)
+        assert order(found) == order(expected)
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
