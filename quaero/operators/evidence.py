@@ -111,10 +111,11 @@ def marker_spans(prompts: DataFrame, marker: str = MARKER) -> DataFrame:
     """
     pattern = rf"\[{marker} (\d+)\]"
     ids, marks = (F.regexp_extract_all("prompt", F.lit(pattern), F.lit(g)) for g in (1, 0))
-    gaps = F.split("prompt", pattern, -1)
-    rows = prompts.select("query_id", F.length("prompt").alias("size"), F.posexplode(F.arrays_zip(ids.alias("id"), marks.alias("mark"), F.slice(gaps, 1, F.greatest(F.size(ids), F.lit(1))).alias("gap"))).alias("pos", "m")).where("m.id is not null")
+    gaps = F.slice(F.split("prompt", pattern, -1), 1, F.greatest(F.size(ids), F.lit(1)))
+    sizes = lambda texts: F.transform(texts, lambda x: F.length(x))  # noqa: E731  # texts themselves need not go through the window
+    rows = prompts.select("query_id", F.length("prompt").alias("size"), F.posexplode(F.arrays_zip(ids.alias("id"), sizes(marks).alias("mark"), sizes(gaps).alias("gap"))).alias("pos", "m")).where("m.id is not null")
     order = Window.partitionBy("query_id").orderBy("pos")
-    start = F.sum(F.length("m.gap")).over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum(F.length("m.mark")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = F.sum("m.gap").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("m.mark").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = rows.select("query_id", "pos", F.col("m.id").cast("long").alias("id"), start.alias("start"), "size")
     return placed.select("query_id", "pos", "id", "start", F.coalesce(F.lead("start").over(order), F.col("size")).alias("end"), "size")
 
@@ -160,9 +161,14 @@ def audit_with(offsets, prompts: DataFrame, limit: int, marker: str = MARKER) ->
 
 
 def prompts_for(methods: dict[str, DataFrame], queries: DataFrame, corpus: DataFrame, templates: Templates = Templates(), k: int = 10) -> DataFrame:
-    """(method, query_id, prompt): every query's prompt for "direct" and for each ranked list given."""
-    out = [queries.select(F.lit("direct").alias("method"), "query_id", prompt("direct", templates, F.col("question")).alias("prompt"))]
-    for name, ranked in methods.items():
-        own = queries.join(evidence(blocks(ranked, corpus, k)), "query_id", "left")
-        out.append(own.select(F.lit(name).alias("method"), "query_id", prompt(name, templates, F.col("question"), F.coalesce("evidence", F.lit(""))).alias("prompt")))
-    return reduce(DataFrame.unionByName, out)
+    """(method, query_id, prompt): every query's prompt for "direct" and for each ranked list given; the corpus is read once for all lists."""
+    direct = queries.select(F.lit("direct").alias("method"), "query_id", prompt("direct", templates, F.col("question")).alias("prompt"))
+    if not methods:
+        return direct
+    pair = lambda m: F.struct(m.alias("method"), F.col("query_id").alias("q")).alias("query_id")
+    ranked = reduce(DataFrame.unionByName, [r.select(pair(F.lit(m)), "rank", "id") for m, r in methods.items()])
+    asked = queries.withColumn("method", F.explode(F.array(*map(F.lit, methods)))).select(pair(F.col("method")), "question")
+    text = F.coalesce("evidence", F.lit(""))
+    each = F.coalesce(*[F.when(F.col("query_id.method") == m, prompt(m, templates, F.col("question"), text)) for m in methods])
+    own = asked.join(evidence(blocks(ranked, corpus, k)), "query_id", "left")
+    return direct.unionByName(own.select("query_id.method", F.col("query_id.q").alias("query_id"), each.alias("prompt")))

@@ -8,7 +8,7 @@ from quaero.functions.text import error_class as classify
 from quaero.operators import evidence as ev
 from quaero.operators import generation, reports
 from quaero.plans import tables as t
-from quaero.plans.retrieval import lists
+from quaero.plans.retrieval import lists, sent
 from quaero.plans.tables import sql
 
 QUERIES, SQL = {}, {}
@@ -27,8 +27,13 @@ def query(select: str | None):
     return add
 
 
-def _blocks(spark, sf_dir, retriever: str = "bm25"):
-    return ev.blocks(lists(spark, sf_dir).where(F.col("retriever") == retriever), t.corpus(spark, sf_dir))
+def _ranked(spark, sf_dir):
+    return sent(lists(spark, sf_dir))
+
+
+def _blocks(spark, sf_dir, ranked=None):
+    ranked = _ranked(spark, sf_dir) if ranked is None else ranked
+    return ev.blocks(ranked.where("retriever = 'bm25'"), t.corpus(spark, sf_dir))
 
 
 def _ids(c: str):
@@ -45,8 +50,8 @@ def evidence_join(spark, sf_dir):
     return ev.evidence(_blocks(spark, sf_dir)).select("query_id", _ids("ids"), F.sha2("evidence", 256).alias("digest"))
 
 
-def _packed(spark, sf_dir):
-    return ev.pack(t.questions(spark, sf_dir), _blocks(spark, sf_dir), LIMIT)
+def _packed(spark, sf_dir, ranked=None):
+    return ev.pack(t.questions(spark, sf_dir), _blocks(spark, sf_dir, ranked), LIMIT)
 
 
 @query("SELECT query_id, array_to_string(ids, ',') AS included_ids, CAST(length(prompt) AS BIGINT) AS tokens, sha256(prompt) AS digest FROM pkd")
@@ -54,8 +59,8 @@ def pack_budget(spark, sf_dir):
     return _packed(spark, sf_dir).select("query_id", _ids("included_ids"), F.col("tokens").cast("long").alias("tokens"), F.sha2("prompt", 256).alias("digest"))
 
 
-def _prompts(spark, sf_dir):
-    ranked = lists(spark, sf_dir).persist()
+def _prompts(spark, sf_dir, ranked=None):
+    ranked = _ranked(spark, sf_dir) if ranked is None else ranked
     own = {r: ranked.where(F.col("retriever") == r) for r in ev.METHODS}
     return ev.prompts_for(own, t.questions(spark, sf_dir), t.corpus(spark, sf_dir))
 
@@ -65,9 +70,9 @@ def prompt_render(spark, sf_dir):
     return _prompts(spark, sf_dir).select("method", "query_id", F.sha2("prompt", 256).alias("digest"))
 
 
-def _keyed(spark, sf_dir):
+def _keyed(spark, sf_dir, ranked=None):
     """Prompts with method and query in one key, as a struct named query_id."""
-    return _prompts(spark, sf_dir).select(F.struct("method", F.col("query_id").alias("q")).alias("query_id"), "prompt")
+    return _prompts(spark, sf_dir, ranked).select(F.struct("method", F.col("query_id").alias("q")).alias("query_id"), "prompt")
 
 
 @query('SELECT method, query_id, CAST(pos AS BIGINT) AS pos, id, st AS start, en AS "end" FROM spn')
@@ -76,8 +81,8 @@ def marker_spans(spark, sf_dir):
     return out.select("query_id.method", F.col("query_id.q").alias("query_id"), F.col("pos").cast("long").alias("pos"), "id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
-def _audits(spark, sf_dir):
-    out = ev.audit(_keyed(spark, sf_dir), LIMIT)
+def _audits(spark, sf_dir, ranked=None):
+    out = ev.audit(_keyed(spark, sf_dir, ranked), LIMIT)
     return out.select("query_id.method", F.col("query_id.q").alias("query_id"), F.col("tokens").cast("long").alias("tokens"), "truncated", "visible", "full", "partial")
 
 
@@ -93,9 +98,10 @@ def audit_by_method(spark, sf_dir):
 
 def _records(spark, sf_dir):
     """Records of a run: audits with the packed prompt's ids and size; every seventh query failed."""
-    packed = _packed(spark, sf_dir).select("query_id", F.col("included_ids").alias("included"), F.col("tokens").cast("long").alias("packed_tokens"), "prompt")
+    ranked = _ranked(spark, sf_dir)
+    packed = _packed(spark, sf_dir, ranked).select("query_id", F.col("included_ids").alias("included"), F.col("tokens").cast("long").alias("packed_tokens"), "prompt")
     status = F.when(F.col("query_id") % 7 == 0, "error").otherwise("ok")
-    return _audits(spark, sf_dir).withColumn("status", status).join(packed, "query_id", "left")
+    return _audits(spark, sf_dir, ranked).withColumn("status", status).join(packed, "query_id", "left")
 
 
 _SUMMARY = """SELECT method, count(*) AS record_count, count(DISTINCT query_id) AS unique_query_count, count(*) FILTER (WHERE status = 'ok') AS ok_count, count(*) FILTER (WHERE status = 'error') AS error_count,
