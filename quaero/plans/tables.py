@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quaero.functions.text import TOKEN, WHITE
@@ -40,24 +41,50 @@ def gold(spark, sf_dir):
     every text that holds it.  Texts are looked up by ANCHOR of them in a row,
     and those found are compared whole.  Questions of fewer words are a stated
     set that is compared with all texts.  Up to SMALL_QUERIES questions
-    (counted) are broadcast.
+    (counted) are sent to the texts, which then are read once and not copied.
     """
     q = questions(spark, sf_dir).where("question <> ''")
     small = q.limit(SMALL_QUERIES + 1).count() <= SMALL_QUERIES
-    hint = F.broadcast if small else (lambda df: df)
     words, docs = F.split(F.col("question"), " "), corpus(spark, sf_dir).select("id", "text")
     enough = F.size(words) >= ANCHOR + 2
+    if small:
+        return _held(q, docs)
     anchored = q.where(enough).select("query_id", "question", F.xxhash64(F.slice(words, 2, ANCHOR)).alias("anchor"))
     parts = F.split(F.col("text"), " ")
     starts = F.when(F.size(parts) >= ANCHOR, F.sequence(F.lit(1), F.size(parts) - (ANCHOR - 1)))
     anchors = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(F.col("parts"), i, ANCHOR))))
-    at = docs.withColumn("parts", parts).select("id", "text", F.explode(anchors).alias("anchor"))
-    if small:
-        found = at.join(hint(anchored), "anchor").where(F.contains("text", "question")).select("query_id", "id")
-    else:
-        maybe = at.select("id", "anchor").join(anchored.select("query_id", "anchor"), "anchor").select("query_id", "id")
-        found = maybe.join(docs, "id").join(q, "query_id").where(F.contains("text", "question")).select("query_id", "id")
-    return found.union(docs.join(hint(q.where(~enough)), F.contains("text", "question")).select("query_id", "id"))
+    at = docs.withColumn("parts", parts).select("id", F.explode(anchors).alias("anchor"))
+    maybe = at.join(anchored.select("query_id", "anchor"), "anchor").select("query_id", "id")
+    found = maybe.join(docs, "id").join(q, "query_id").where(F.contains("text", "question")).select("query_id", "id")
+    return found.union(docs.join(q.where(~enough), F.contains("text", "question")).select("query_id", "id"))
+
+
+def _held(q, docs):
+    """:func:`gold` of questions that every task has: a text's words are met with the anchors, four in a row at a time."""
+    anchors, short = {}, []
+    for r in q.select("query_id", F.col("question").cast("binary").alias("question")).collect():
+        asked = (r.query_id, bytes(r.question))
+        words = asked[1].split(b" ")
+        if len(words) >= ANCHOR + 2:
+            anchors.setdefault(tuple(words[1 : 1 + ANCHOR]), []).append(asked)
+        else:
+            short.append(asked)
+    shared = q.sparkSession.sparkContext.broadcast((anchors, short))
+
+    def run(batches):
+        anchors, short = shared.value
+        for batch in batches:
+            query_ids, at = [], []
+            for n, text in enumerate(batch.column(1)):
+                text = text.as_py()
+                parts = text.split(b" ")
+                maybe = [x for four in anchors.keys() & zip(*(parts[i:] for i in range(ANCHOR)), strict=False) for x in anchors[four]]
+                own = [q for q, question in maybe + short if question in text]
+                query_ids += own
+                at += [n] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids, pa.int64()), batch.column(0).take(pa.array(at, pa.int64()))], ["query_id", "id"])
+
+    return docs.where("text is not null").select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "query_id long, id long")
 
 
 def vectors(spark, sf_dir):

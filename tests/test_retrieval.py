@@ -153,7 +153,7 @@ def test_dense_search_holds_few_products(spark, monkeypatch):
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vector array<double>").repartition(2)
     queries = table.where("id % 20 = 0").withColumnRenamed("id", "query_id")
     expected = {(q, n): i for q in range(0, 300, 20) for n, i in enumerate(np.lexsort((np.arange(300), -np.round(vectors @ vectors[q], 9)))[:7], 1)}
-    monkeypatch.setattr(dense, "CELLS", 64)
+    monkeypatch.setattr(ranking, "CELLS", 64)
     assert {(r.query_id, r["rank"]): r.id for r in dense.search(queries, table, 7).collect()} == expected
 
     most = 0
@@ -166,7 +166,7 @@ def test_dense_search_holds_few_products(spark, monkeypatch):
     import pyarrow as pa
 
     task = []
-    monkeypatch.setattr(dense, "CELLS", 1 << 12)
+    monkeypatch.setattr(ranking, "CELLS", 1 << 12)
     monkeypatch.setattr(dense, "_by_blocks", lambda q, v, block, f: task.append(f) or v.selectExpr("id as query_id", "id", "0d as score"))
     dense.search(queries, table, 7)
     part = [(q, rng.normal(size=6)) for q in range(50)]
@@ -187,8 +187,52 @@ def test_products_of_all_pairs(spark, monkeypatch):
     expected = pairs.select("query_id", "id", F.round(vec.inner_product(F.col("q"), F.col("vector")), 6).alias("score"))
     order = lambda df: sorted(map(str, df.collect()))
     for cells, width, block in ((1 << 19, 128, 4096), (4, 2, 2)):
-        monkeypatch.setattr(dense, "CELLS", cells)
+        monkeypatch.setattr(ranking, "CELLS", cells)
         monkeypatch.setattr(dense, "ROWS", width)
         found = dense.products(queries, table, 6, block)
         assert order(found) == order(expected)
         assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_token_bag_equals_tokens(spark):
+    from quaero.functions.text import token_bag, tokens
+
+    odd = ["a1.5.2b..3 .4 5.", "ABC é ñandú İstanbul K 12.", "法条12.5abc劳动", "x١٢.٣y 1.٢", "é9.8.7.6", "...1..2.", "", None, " a²b⁵ 3", "\U0001d7d8 7 ०", "ſK㐀"]
+    for r in spark.createDataFrame([(t,) for t in odd], "text string").select("text", tokens(F.col("text")).alias("t")).collect():
+        assert sorted(token_bag((r.text or "").encode())) == sorted(x.encode() for x in r.t)
+
+
+@pytest.mark.parametrize("direct", [0, 1000])
+def test_lists_hold_few_rows_of_all_scores(spark, tmp_path, monkeypatch, direct):
+    """The k best by score and by overlap, ties included, as all scores give them, in small steps and by the join; but a task's best are all that is kept."""
+    from quaero.plans import retrieval
+
+    rng = np.random.default_rng(7)
+    words = [f"w{'abcdefghijklmnopqrstuvwxyz'[i]}" for i in range(26)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 9))) for _ in range(400)] + [None, "", "2.5 法"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s")).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [" ".join(rng.choice(words, 5)) for _ in range(12)] + ["nothing here", None, "2.5 法"]
+    spark.createDataFrame(list(enumerate(asked)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(lexical, "DIRECT", direct)
+    monkeypatch.setattr(ranking, "CELLS", 300)
+    q, c = (f(spark, str(tmp_path)) for f in (retrieval.t.questions, retrieval.t.corpus))
+    scores = lexical.score(q, c)
+    found = lexical.best(q, c, 10)
+    for kind in ("score", "matched"):
+        expected = ranking.top_k(scores.select("query_id", "id", F.col(kind).cast("double").alias("score")), 10)
+        got = ranking.top_k(found.where(F.col("kind") == kind).drop("kind"), 10)
+        pick = lambda df: sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in df.collect())
+        assert pick(got) == pick(expected)
+    assert found.count() <= 2 * 3 * 10 * len(asked) < 2 * scores.count()
+    plan = retrieval.lists(spark, str(tmp_path))
+    assert plan.storageLevel.useMemory and (not direct or "Join" not in str(plan._jdf.queryExecution().executedPlan()))
+
+
+def test_gold_reads_texts_once_without_copies(spark, tmp_path):
+    from quaero.plans import tables
+
+    spark.createDataFrame([(1, "one two three four five six seven")], "doc_id long, text string").withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "one two three four five six"), (2, "five")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = tables.gold(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 2 and plan.count("Scan parquet") == 1 and "Generate" not in plan and "Join" not in plan
