@@ -16,7 +16,16 @@ _KINDS = {"pair": ("k_name", "k_text"), "text": ("k_text",), "name": ("k_name",)
 
 
 def _keyed(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.select(*columns, match_key(F.col("name")).alias("k_name"), match_key(F.col("text")).alias("k_text"))
+    """``columns`` of rows (name, text, ...) and SHA-256 of both keys: texts are joined by 32 bytes each and not shuffled."""
+    key = lambda c: F.unhex(F.sha2(match_key(F.col(c)), 256))
+    return rows.select(*columns, key("name").alias("k_name"), key("text").alias("k_text"))
+
+
+def _held(corpus: DataFrame) -> DataFrame:
+    """The corpus's ids and keys, some 80 bytes a row, worked out once: each kind of key reads them, and white space of texts is slow to find."""
+    keyed = _keyed(corpus, "id").persist()
+    keyed.count()  # else jobs that begin together would each work them out
+    return keyed
 
 
 def resolve_ids(related: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -27,7 +36,7 @@ def resolve_ids(related: DataFrame, corpus: DataFrame) -> DataFrame:
     the least id are joined, never its list of ids: a key that many rows share
     costs each of them one row.
     """
-    keyed, out = _keyed(corpus, "id"), _keyed(related, "query_id", "pos", "name", "text")
+    keyed, out = _held(corpus), _keyed(related, "query_id", "pos", "name", "text")
     for kind, keys in _KINDS.items():
         own = keyed.groupBy(*keys).agg(F.count("*").alias(f"{kind}_n"), F.min("id").alias(f"{kind}_id"))
         out = out.join(own, list(keys), "left")
@@ -44,7 +53,7 @@ def resolve(related: DataFrame, corpus: DataFrame) -> DataFrame:
     The candidates of an ambiguous row are all ids of its keys, in order; those
     lists are joined to ambiguous rows alone.
     """
-    rows, keyed = resolve_ids(related, corpus), _keyed(corpus, "id")
+    rows, keyed = resolve_ids(related, corpus), _held(corpus)
     none = F.array().cast("array<bigint>")
     own = ("query_id", "pos", "name", "text", "level", "resolved_id")
     clear = rows.where(F.col("level") != LEVELS[3]).select(*own, F.when(F.col("resolved_id").isNotNull(), F.array("resolved_id")).otherwise(none).alias("candidates"))

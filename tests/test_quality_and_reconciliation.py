@@ -109,3 +109,14 @@ def test_seeded_sample_is_pythons(spark):
     table = spark.range(100).withColumnRenamed("id", "k")
     assert sorted(r.k for r in quality.seeded_sample(table, "k", 10, 7).collect()) == sorted(random.Random(7).sample(range(100), 10))
     assert quality.seeded_sample(table.limit(3), "k", 10).count() == 3
+
+
+def test_reconciliation_shuffles_no_texts(spark):
+    """Keys are dealt by digests of fixed size; names and texts that differ by white space alone still meet."""
+    corpus = spark.createDataFrame([(i, f"n{i % 3}", f"t {i % 4}" if i < 9 else None) for i in range(12)], "id long, name string, text string")
+    related = spark.createDataFrame([(1, 0, " n0", "t\n0 "), (2, 0, "n9", "t 1"), (3, 0, "n1", "new"), (4, 0, "n7", "new"), (5, 0, None, None)], "query_id long, pos int, name string, text string")
+    out = reconcile.resolve(related, corpus).select("query_id", "level", "candidates")
+    found = {r.query_id: (r.level, r.candidates) for r in out.collect()}
+    assert found == {1: ("A_exact_name_and_text", [0]), 2: ("D_ambiguous", [1, 5]), 3: ("D_ambiguous", [1, 4, 7, 10]), 4: ("D_unresolved", []), 5: ("D_ambiguous", [9, 10, 11])}
+    long = spark.createDataFrame([(1, "n", "x" * 100_000)], "id long, name string, text string")
+    assert [len(x) for x in reconcile._keyed(long, "id").first()[1:]] == [32, 32]
